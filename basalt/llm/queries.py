@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
-from basalt.llm._spark import read
+from basalt.llm import toxicity as _toxicity
+from basalt.llm._spark import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +29,41 @@ WITH t AS (SELECT doc_id, {LOWER_SQL} AS norm FROM documents),
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)
 """
+
+
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
+    )
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return _chat.digests(_chat.format_chat(_chat.canonical_turns(rows)))
+
+
+QUERIES["op3_chat_format"] = op3_chat_format
+ORACLES["op3_chat_format"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+     e AS (SELECT *, length(replace(replace(t, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(r, '&', '&amp;'), '<', '&lt;')) + 21 AS written FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(written) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = _toxicity.learn(docs, read(spark, sf_dir, "labels"), "toxic")
+    scored = _toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
