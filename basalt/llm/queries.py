@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
+from basalt.llm import language_id as _language
 from basalt.llm import toxicity as _toxicity
 from basalt.llm._spark import fold, read
 
@@ -67,3 +68,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    named = _language.identify(docs, _language.learn(docs))
+    return named.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES["op10_language_id"] = op10_language_id

@@ -9,8 +9,8 @@ Altschul): E = K n exp(-lambda s). The sum of 1 / E over all passages of a text
 to a probability by a logistic curve.
 
 What is learned comes from a bounded sample of labelled rows (``sample_rows``), counted by
-distinct neighbours: a token counts once for each different token before it, so copies of a
-text don't count again and again. Scoring goes through the texts once, without a shuffle.
+distinct contexts: a word counts once for each different word before it, a beginning once
+for each different word that it begins, so copies of a text don't count again and again. Scoring goes through the texts once, without a shuffle.
 
 Defined cases: null text counts as empty and has no passage; rows that repeat or tie are
 scored alike; without labelled rows of both kinds every text gets the share of the label 1
@@ -83,7 +83,7 @@ class Model:
             yield piece.column(1).to_numpy(), tokens, self.score_tokens(tokens)
 
     def _count(self, texts: pa.Array, labels: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For words (0) and each length of beginnings: hash, neighbour and row of every token."""
+        """Hash, context and row of every token: a word (0) has its neighbour for context, a beginning the word it begins."""
         seen: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {k: [] for k in (0, *BEGINNINGS)}
         batch = pa.record_batch([texts, pa.array(np.arange(len(texts)))], ["text", "row"])
         for piece in pieces(iter([batch]), 0):
@@ -96,7 +96,7 @@ class Model:
             seen[0].append((words, context, rows))
             for k in BEGINNINGS:
                 long = tokens.end - tokens.start >= k
-                seen[k].append((tokens.hashes(tokens.start[long], tokens.start[long] + k), context[long], rows[long]))
+                seen[k].append((tokens.hashes(tokens.start[long], tokens.start[long] + k), words[long], rows[long]))
         self._labels = labels
         return {k: tuple(np.concatenate(x) if x else np.zeros(0, U) for x in zip(*v, strict=True)) if v else (np.zeros(0, U),) * 3 for k, v in seen.items()}
 
