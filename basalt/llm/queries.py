@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
 from basalt.llm import language_id as _language
+from basalt.llm import sentencepieces as _sentencepieces
 from basalt.llm import toxicity as _toxicity
 from basalt.llm._spark import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Where the vocabulary files of public tokenizers lie; read on the driver alone.
+TOKENIZERS = os.environ.get("BASALT_TOKENIZERS", "/opt/tokenizers")
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -77,3 +81,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_language_id"] = op10_language_id
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return _sentencepieces.round_trip(read(spark, sf_dir, "documents"), _sentencepieces.load(model))
+
+
+QUERIES["op5_sentencepiece"] = op5_sentencepiece
