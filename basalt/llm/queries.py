@@ -12,6 +12,7 @@ from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
 from basalt.llm import language_id as _language
 from basalt.llm import sentencepieces as _sentencepieces
+from basalt.llm import suffix_dedup as _suffixes
 from basalt.llm import toxicity as _toxicity
 from basalt.llm._spark import fold, read
 
@@ -88,3 +89,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZE
 
 
 QUERIES["op5_sentencepiece"] = op5_sentencepiece
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES["op6_suffix_dedup"] = op6_suffix_dedup
