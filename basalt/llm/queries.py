@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
 from basalt.llm import language_id as _language
+from basalt.llm import ngram_join as _ngrams
 from basalt.llm import sentencepieces as _sentencepieces
 from basalt.llm import suffix_dedup as _suffixes
 from basalt.llm import toxicity as _toxicity
@@ -96,3 +97,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_suffix_dedup"] = op6_suffix_dedup
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngrams.near_components(read(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+QUERIES["op4_ngram_jaccard"] = op4_ngram_jaccard
