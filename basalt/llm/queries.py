@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
 from basalt.llm import language_id as _language
+from basalt.llm import neighbours as _neighbours
 from basalt.llm import ngram_join as _ngrams
 from basalt.llm import sentencepieces as _sentencepieces
 from basalt.llm import suffix_dedup as _suffixes
@@ -104,3 +105,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_ngram_jaccard"] = op4_ngram_jaccard
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    return _neighbours.Graph(vectors).search(queries)
+
+
+QUERIES["op7_nearest_neighbours"] = op7_nearest_neighbours
