@@ -287,7 +287,7 @@ def _verify(size: int, num: int, den: int):
 def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of each document."""
     spark = docs.sparkSession
-    buckets = 4 * parallelism(spark)
+    buckets = parallelism(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     sent = rows.mapInArrow(_prefixes(size, num, den, buckets), SCHEMA)
     counted = cut(sent.groupBy("kind", "bucket").applyInArrow(_count(buckets), SCHEMA))
