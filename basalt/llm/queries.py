@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
 from basalt.llm import language_id as _language
+from basalt.llm import lm_score as _lm
 from basalt.llm import neighbours as _neighbours
 from basalt.llm import ngram_join as _ngrams
 from basalt.llm import sentencepieces as _sentencepieces
@@ -114,3 +115,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_nearest_neighbours"] = op7_nearest_neighbours
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    return _lm.score_documents(read(spark, sf_dir, "documents"), _lm.load_ranks(ranks))
+
+
+QUERIES["op8_lm_score"] = op8_lm_score
