@@ -12,6 +12,7 @@ from basalt.llm import chat_format as _chat
 from basalt.llm import exact_dedup as _exact
 from basalt.llm import language_id as _language
 from basalt.llm import lm_score as _lm
+from basalt.llm import mixing as _mixing
 from basalt.llm import neighbours as _neighbours
 from basalt.llm import ngram_join as _ngrams
 from basalt.llm import sentencepieces as _sentencepieces
@@ -122,3 +123,17 @@ def op8_lm_score(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/b
 
 
 QUERIES["op8_lm_score"] = op8_lm_score
+
+
+#: A domain is a quality and a toxicity of the labelled table.
+DOMAIN = "concat('q', quality, 't', toxic)"
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = {"q1t0": 0.7, "q0t0": 0.18, "q1t1": 0.08, "q0t1": 0.04}
+    found, domains = _mixing.mix_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), targets, DOMAIN)
+    likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position("posterior", F.array_max("posterior")).cast("int")) if domains else F.lit(None).cast("string")
+    return found.select("doc_id", "n_tokens", likeliest.alias("domain"), "posterior", "rate")
+
+
+QUERIES["op1_mixing"] = op1_mixing
