@@ -268,18 +268,27 @@ def _codec(raw: bytes) -> Codec:
 
 def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of each row. ``model``: the bytes of a model file."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # one model file
-    kind = docs.schema[doc_id].dataType.simpleString()
+    return encode_with(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, ["doc_id"])
+
+
+def encode_with(docs: DataFrame, model: bytes, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of each row, and its ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    chosen = docs.select(*keep, F.col(text).alias("__said"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
-        for piece in pieces(batches, 1, 4 << 20):
-            made = [codec.encode(t.as_py() or "") for t in piece.column(1)]
-            ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
-            yield pa.record_batch([piece.column(0), ids], ["doc_id", "ids"])
+        for piece in pieces(batches, len(keep), 4 << 20):
+            yield pa.record_batch([*(piece.column(k) for k in range(len(keep))), _encoded(codec, piece.column(len(keep)))], [*keep, "ids"])
+
+    kinds = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
+    return chosen.mapInArrow(run, f"{kinds}, ids array<int>")
+
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+def _encoded(codec: Codec, texts: pa.Array) -> pa.ListArray:
+    made = [codec.encode(t.as_py() or "") for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
