@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,11 @@ def register_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = T
 
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``; one of this process where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "basalt-checkpoints"))
+    return df.checkpoint()
