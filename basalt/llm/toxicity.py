@@ -37,7 +37,7 @@ KNOWN, DRIFT, LEAST = 3, 0.7, -2.0
 class Model:
     """Token scores, the extreme-value law and the logistic curve."""
 
-    def __init__(self, sample_rows: int = 8000) -> None:
+    def __init__(self, sample_rows: int = 6000) -> None:
         self.sample_rows = sample_rows
         self.known = np.zeros(0, U)
         self.scores = np.zeros(0)
@@ -52,14 +52,14 @@ class Model:
             share = labels.mean() if len(labels) else 0.0
             self.curve = (math.log(max(share, 1e-13) / max(1 - share, 1e-13)), 0.0)
             return self
-        seen = self._count(texts, labels)
         half = mix(np.arange(len(labels), dtype=U)) % U(2) == 0
+        parts = [half, ~half, np.ones(len(labels), bool)]
+        tables = {k: self._tables(texts, labels, k, parts) for k in (0, *BEGINNINGS)}
         stats, sizes, tops = np.zeros(len(labels)), np.zeros(len(labels)), np.zeros(len(labels))
         null: list[np.ndarray] = []
-        for part in (half, ~half):
-            self._weigh(seen, part)
-            chosen = np.flatnonzero(~part)
-            for rows, tokens, s in self._read(texts, chosen):
+        for n, part in enumerate(parts[:2]):
+            self._use(tables, n)
+            for rows, tokens, s in self._read(texts, np.flatnonzero(~part)):
                 null.append(s[~labels[rows][tokens.row]])
                 sizes[rows] = tokens.per_row()
                 for row, _, _, score in segments(tokens.row, s):
@@ -68,12 +68,12 @@ class Model:
         clean = ~labels & (sizes > 0)
         spread = (sizes[clean] * np.exp(-lam * tops[clean])).sum()
         self.law = (lam, float(np.clip(clean.sum() / spread if spread else 0.1, 1e-4, 1.0)))
-        for part in (half, ~half):
-            self._weigh(seen, part)
+        for n, part in enumerate(parts[:2]):
+            self._use(tables, n)
             for rows, tokens, s in self._read(texts, np.flatnonzero(~part)):
                 stats[rows] = self._evidence(tokens, s)[0]
         self.curve = _logistic(stats, labels)
-        self._weigh(seen, np.ones(len(labels), bool))
+        self._use(tables, 2)
         return self
 
     def _read(self, texts: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray, Tokens, np.ndarray]]:
@@ -82,40 +82,49 @@ class Model:
             tokens = Tokens(*text_bytes(piece.column(0)), OTHER, latin=True)
             yield piece.column(1).to_numpy(), tokens, self.score_tokens(tokens)
 
-    def _count(self, texts: pa.Array, labels: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Hash, context and row of every token: a word (0) has its neighbour for context, a beginning the word it begins."""
-        seen: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {k: [] for k in (0, *BEGINNINGS)}
+    def _tables(self, texts: pa.Array, labels: np.ndarray, k: int, parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Scores of words (0) or of beginnings of ``k`` bytes, learned from each of the parts.
+
+        A word's context is its neighbour, a beginning's the word that it begins.
+        """
+        token, context, rows = [], [], []
         batch = pa.record_batch([texts, pa.array(np.arange(len(texts)))], ["text", "row"])
         for piece in pieces(iter([batch]), 0):
             tokens = Tokens(*text_bytes(piece.column(0)), OTHER, latin=True)
-            rows, words = piece.column(1).to_numpy()[tokens.row].astype(np.int32), tokens.words()
-            before = np.zeros(len(words), U)
-            if len(words):
-                before[1:] = np.where(tokens.row[1:] == tokens.row[:-1], words[:-1], U(0))
-            context = mix(words + before * U(0x9E3779B97F4A7C15))
-            seen[0].append((words, context, rows))
-            for k in BEGINNINGS:
+            row, words = piece.column(1).to_numpy()[tokens.row].astype(np.int32), tokens.words()
+            if k:
                 long = tokens.end - tokens.start >= k
-                seen[k].append((tokens.hashes(tokens.start[long], tokens.start[long] + k), words[long], rows[long]))
-        self._labels = labels
-        return {k: tuple(np.concatenate(x) if x else np.zeros(0, U) for x in zip(*v, strict=True)) if v else (np.zeros(0, U),) * 3 for k, v in seen.items()}
-
-    def _weigh(self, seen: dict, part: np.ndarray) -> None:
-        for k, (token, context, rows) in seen.items():
-            rows = rows.astype(np.int64)
+                token.append(tokens.hashes(tokens.start[long], tokens.start[long] + k))
+                context.append(words[long])
+                rows.append(row[long])
+            else:
+                before = np.zeros(len(words), U)
+                before[1:] = np.where(row[1:] == row[:-1], words[:-1], U(0))
+                token.append(words)
+                context.append(mix(words + before * U(0x9E3779B97F4A7C15)))
+                rows.append(row)
+        if not token:
+            return [(np.zeros(0, U), np.zeros(0))] * len(parts)
+        token, context, rows = np.concatenate(token), np.concatenate(context), np.concatenate(rows)
+        out = []
+        for part in parts:
             chosen = part[rows]
-            token, context, toxic = token[chosen], context[chosen], self._labels[rows[chosen]]
-            _, one = np.unique(context ^ (token << U(1)) ^ toxic.astype(U), return_index=True)
-            names, at = np.unique(token[one], return_inverse=True)
+            t, toxic = token[chosen], labels[rows[chosen]]
+            key = context[chosen] ^ (t << U(1)) ^ toxic.astype(U)
+            order = np.argsort(key)
+            one = order[np.append(True, np.diff(key[order]) != 0)[: len(order)]]
+            names, at = np.unique(t[one], return_inverse=True)
             bad = np.bincount(at, toxic[one], len(names))
             good = np.bincount(at, minlength=len(names)) - bad
-            score = log_odds(bad, good)
-            enough = bad + good >= KNOWN
-            if k == 0:
-                self.known, self.scores = names[enough], score[enough]
-            else:
+            score, enough = log_odds(bad, good), bad + good >= KNOWN
+            if k:
                 enough &= score > 0
-                self.starts[k] = names[enough], score[enough]
+            out.append((names[enough], score[enough]))
+        return out
+
+    def _use(self, tables: dict[int, list[tuple[np.ndarray, np.ndarray]]], n: int) -> None:
+        self.known, self.scores = tables[0][n]
+        self.starts = {k: tables[k][n] for k in BEGINNINGS}
 
     # scoring
 
@@ -243,7 +252,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
     return (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts), np.asarray(got.column("label").to_pylist())
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 8000, mod: int | None = 4, rest: int = 2) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 6000, mod: int | None = 4, rest: int = 2) -> Model:
     texts, marks = labelled_sample(docs, labels, label, sample_rows, mod=mod, rest=rest)
     return Model(sample_rows).fit(texts, marks.astype(float) > 0)
 
