@@ -56,7 +56,7 @@ class Model:
     def __init__(self) -> None:
         self.domains: list[str] = []
         self.evidence = np.zeros((PLACES, 0), np.float32)
-        self.weights = np.zeros((0, 0))
+        self.weights = np.zeros((SHARES, 0))
 
     def fit(self, texts: pa.Array, labels: list[str], rounds: int = 300) -> "Model":
         self.domains = sorted(set(labels))
