@@ -167,10 +167,10 @@ def project_filter_str_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o.o_orderpriority, CAST(SUM(l.l_partkey) AS BIGINT) AS s, COUNT(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
           WHERE l.l_orderkey > 3000 GROUP BY o.o_orderpriority ORDER BY 2 DESC, 1 LIMIT 5""")
-def flagship_broadcast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship_broadcast_join(spark: SparkSession, sf_dir: str, least: int = 3000) -> DataFrame:
     """Joined, grouped, top five; the planner picks the join's build side and strategy."""
     engine = _engine(spark, sf_dir, "lineitem", "orders")
-    return engine.sql("SELECT o.o_orderpriority, SUM(l.l_partkey) AS s, COUNT(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_orderkey > 3000 GROUP BY o.o_orderpriority ORDER BY 2 DESC LIMIT 5", strict=True)
+    return engine.sql(f"SELECT o.o_orderpriority, SUM(l.l_partkey) AS s, COUNT(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_orderkey > {least} GROUP BY o.o_orderpriority ORDER BY 2 DESC LIMIT 5", strict=True)
 
 
 def _engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
