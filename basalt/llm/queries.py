@@ -137,3 +137,28 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_mixing"] = op1_mixing
+
+WORDS_SQL = rf"regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+')"
+ORACLES["op4_ngram_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+             ELSE [array_to_string(words[i : i + 2], ' ') FOR i IN range(1, len(words) - 1)] END) AS shingle FROM w),
+     n AS (SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+     i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+     l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 90 * (a.n + b.n - shared)),
+     r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.reached)
+SELECT n.doc_id, n.n AS n_shingles, min(r.reached) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
+"""
+#: Bytes as two hexadecimal digits each; a window of 100 bytes is 200 digits.
+ORACLES["op6_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     p AS (SELECT doc_id, h, unnest(range(1, CAST(len(h) / 2 AS BIGINT) + 1)) AS pos FROM d),
+     w AS (SELECT doc_id, pos, CASE WHEN 2 * pos + 198 <= len(h) THEN substr(h, 2 * pos - 1, 200) END AS s, substr(h, 2 * pos - 1, 2) AS byte FROM p),
+     m AS (SELECT doc_id, pos, byte, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) > 1 AS again FROM w),
+     c AS (SELECT doc_id, pos, byte, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM m),
+     e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM c),
+     f AS (SELECT doc_id, count(*) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_spans,
+             sha256(unhex(coalesce(string_agg(byte, '' ORDER BY pos) FILTER (WHERE gone = 0), ''))) AS kept_sha256 FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN f USING (doc_id)
+"""
