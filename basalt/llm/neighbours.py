@@ -12,8 +12,9 @@ nearest. Each round is three exchanges of packed arrays between blocks and ends
 shared folder. Rounds end when few edges change.
 
 Search. A query starts from the list of its own node and, round by round, visits the
-nearest nodes not yet visited and keeps the nearest of what their lists hold. Scores of the
-answer are inner products of the original vectors in double precision.
+nearest nodes not yet visited and keeps the nearest of what their lists hold. Between blocks
+vectors travel scaled and in half precision; the beam is wider than the answer, and all of
+it is scored by inner products of the original vectors in double precision.
 
 Memory follows the block: its nodes times the members of a list. Nothing is broadcast and
 only counts go to the driver.
@@ -188,7 +189,7 @@ def _send(table: pa.Table) -> pa.Table:
         own = got[VECTORS][0]
         for w in got[WANTED]:
             at = np.searchsorted(own["nodes"], w["ids"])
-            rows.append(_row(int(w["by"][0]), SENT, ids=w["ids"], x=own["x"][at]))
+            rows.append(_row(int(w["by"][0]), SENT, ids=w["ids"], x=own["x"][at].astype(np.float16)))
     return pa.concat_tables([keep.select(NAMES), _table(rows)])
 
 
@@ -202,7 +203,7 @@ def _compare(top: int, blocks: int) -> Callable:
             return keep
         ids, x = _joined(got[SENT], "ids", "x")
         by = np.argsort(ids)
-        ids, x = ids[by], x[by]
+        ids, x = ids[by], x[by].astype(np.float32)
         lists = got[MEMBERS][0]
         owner, other, score = [], [], []
         for at in range(0, len(lists["ids"]), 64):
@@ -270,7 +271,7 @@ class Graph:
                 lists = batch.column(1)
                 x = lists.flatten().cast(pa.float64()).to_numpy().reshape(batch.num_rows, -1)
                 added = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-                whole = np.concatenate([x, added[:, None]], 1).astype(np.float32)
+                whole = (np.concatenate([x, added[:, None]], 1) / np.sqrt(longest)).astype(np.float32)
                 sides = np.random.default_rng(11).normal(size=(x.shape[1], planes.shape[0] * planes.shape[1]))
                 signs = (x @ sides > 0).reshape(batch.num_rows, planes.shape[0], planes.shape[1])
                 codes = (signs * (1 << np.arange(planes.shape[1]))).sum(2) if planes.shape[1] else np.zeros((batch.num_rows, planes.shape[0]), np.int64)
@@ -300,18 +301,18 @@ class Graph:
             fresh = now.filter(F.col("kind") == STATE).agg(F.sum(changed("data"))).first()[0] or 0
             if fresh < 0.01 * k * self.count:
                 break
-        self.state, self.vectors = now.filter(F.col("kind") == STATE), vectors
+        self.edges, self.vectors = now, vectors
 
-    def search(self, queries: DataFrame, top: int = 20, beam: int = 48, visits: int = 24, rounds: int = 2) -> DataFrame:
+    def search(self, queries: DataFrame, top: int = 20, beam: int = 96, visits: int = 48, rounds: int = 2) -> DataFrame:
         """query_id, rank, vec_id and score of the ids in ``queries`` (column query_id) that name rows of the table."""
         blocks, rows = self.blocks, self.rows
         asked = queries.select(F.col("query_id").cast("long").alias("id")).distinct().join(rows, "id")
         asked = cut(asked.withColumnRenamed("id", "query_id").join(self.nodes.select("raw", "node"), "raw").select("query_id", "node"))
         starts = asked.select("node").distinct().mapInArrow(_starts(blocks), SCHEMA)
-        # each node keeps, with its list, the vectors of the list
-        wanted = self.state.groupBy("b").applyInArrow(_want(blocks), SCHEMA)
+        # each node keeps its neighbours in both directions, and their vectors
+        wanted = self.edges.groupBy("b").applyInArrow(_members(2 * self.k, blocks), SCHEMA)
         sent = wanted.unionByName(self.vectors).groupBy("b").applyInArrow(_send, SCHEMA)
-        tables = cut(sent.filter(F.col("kind").isin(STATE, SENT, VECTORS)))
+        tables = cut(sent.filter(F.col("kind").isin(STATE, MEMBERS, SENT, VECTORS)))
         beams = cut(starts.unionByName(tables).groupBy("b").applyInArrow(_open(beam, visits, blocks), SCHEMA))
         for last in [False] * (rounds - 1) + [True]:
             seen = beams.unionByName(tables.filter(F.col("kind") != VECTORS)).groupBy("b").applyInArrow(_visit(beam, blocks), SCHEMA)
@@ -343,16 +344,6 @@ def _starts(blocks: int) -> Callable:
     return run
 
 
-def _want(blocks: int) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        state = _read(table)[STATE][0]
-        wanted = np.unique(state["ids"][state["ids"] >= 0])
-        b = int(table.column("b")[0].as_py())
-        return pa.concat_tables([table.select(NAMES), _table(_deal(WANTED, _home(wanted, blocks), ids=wanted, by=np.full(len(wanted), b)))])
-
-    return run
-
-
 def _frontier(query: np.ndarray, x: np.ndarray, ids: np.ndarray, scores: np.ndarray, done: np.ndarray, visits: int, blocks: int) -> list[tuple[int, int, bytes]]:
     """Marks the nearest nodes not visited as visited, and sends the queries to their blocks."""
     open_scores = np.where(done | (ids < 0), -np.inf, scores)
@@ -389,10 +380,12 @@ def _open(beam: int, visits: int, blocks: int) -> Callable:
         x[:, -1] = 0  # from here on nearness is the inner product alone
         near, where = _joined(got[SENT], "x", "ids")
         by = np.argsort(where)
-        near, where = near[by], where[by]
+        near, where = near[by].astype(np.float32), where[by]
         done = ids < 0
         scores = np.einsum("ij,ikj->ik", x, near[np.minimum(np.searchsorted(where, ids), len(where) - 1)]) if len(where) else scores
         scores[done] = -np.inf
+        room = max(0, beam - ids.shape[1])  # what is found fills the rest of the beam
+        ids, scores, done = (np.pad(v, ((0, 0), (0, room)), constant_values=c) for v, c in ((ids, -1), (scores, -np.inf), (done, True)))
         b = int(table.column("b")[0].as_py())
         ask = _frontier(query, x, ids, scores, done, visits, blocks)
         return _table([_row(b, FOUND, query=query, x=x, ids=ids, scores=scores, done=done), *ask])
@@ -408,12 +401,12 @@ def _visit(beam: int, blocks: int) -> Callable:
         rows = [_row(int(table.column("b")[0].as_py()), FOUND, **f) for f in got.get(FOUND, [])]
         if ASK not in got or STATE not in got or SENT not in got:
             return _table(rows)
-        state = got[STATE][0]
+        nodes, members = got[STATE][0]["nodes"], got[MEMBERS][0]["ids"]
         ids, x = _joined(got[SENT], "ids", "x")
         by = np.argsort(ids)
-        ids, x = ids[by], x[by]
+        ids, x = ids[by], x[by].astype(np.float32)
         for ask in got[ASK]:
-            lists = state["ids"][np.searchsorted(state["nodes"], ask["node"])]
+            lists = members[np.searchsorted(nodes, ask["node"])]
             row, member = np.repeat(ask["at"], lists.shape[1]), lists.ravel()
             keep = member >= 0
             pair = np.unique(np.stack([row[keep], member[keep]]), axis=1)

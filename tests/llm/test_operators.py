@@ -284,3 +284,34 @@ def test_base_score(spark, texts, small):
         assert got[d].n_tokens == len(tokens) and got[d].train_tokens == total and got[d].n_known == sum(counts[w] > 0 for w in tokens)
         assert got[d].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens))
     assert pa.array([r.score for r in got.values()]).null_count == 0
+
+
+# neighbours
+
+
+def test_recall_and_search(spark):
+    """The graph with search against brute force, and search mending a poor graph."""
+    from pyspark.sql import functions as F
+
+    from basalt.llm import neighbours
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids = np.array([r.vec_id for r in vectors.select("vec_id").orderBy("vec_id").collect()])
+    x = np.stack([np.array(r.embedding, float) for r in vectors.orderBy("vec_id").collect()])
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+
+    def recall(found):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = []
+        for q in ids[ids % 20 == 0]:
+            s = x @ x[np.searchsorted(ids, q)]
+            s[ids == q] = -np.inf
+            hits.append(len(set(ids[np.argsort(-s)[:20]].tolist()) & got[q]) / 20)
+        return np.mean(hits)
+
+    assert recall(neighbours.Graph(vectors).search(queries)) >= 0.97
+    poor = neighbours.Graph(vectors, k=10, rounds=1)
+    few, many = (recall(poor.search(queries, beam=60, visits=20, rounds=r)) for r in (1, 4))
+    assert many > few + 0.1
