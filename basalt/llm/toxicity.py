@@ -105,21 +105,26 @@ class Model:
                 rows.append(row)
         if not token:
             return [(np.zeros(0, U), np.zeros(0))] * len(parts)
-        token, context, rows = np.concatenate(token), np.concatenate(context), np.concatenate(rows)
-        out = []
+        rows = np.concatenate(rows)
+        token, context, out = np.concatenate(token), np.concatenate(context), []
+        share = (token >> U(8)) % U(8)  # an eighth of the tokens at a time
         for part in parts:
-            chosen = part[rows]
-            t, toxic = token[chosen], labels[rows[chosen]]
-            key = context[chosen] ^ (t << U(1)) ^ toxic.astype(U)
-            order = np.argsort(key)
-            one = order[np.append(True, np.diff(key[order]) != 0)[: len(order)]]
-            names, at = np.unique(t[one], return_inverse=True)
-            bad = np.bincount(at, toxic[one], len(names))
-            good = np.bincount(at, minlength=len(names)) - bad
-            score, enough = log_odds(bad, good), bad + good >= KNOWN
+            names, bad, both = [], [], []
+            for n in range(8):
+                chosen = np.flatnonzero(part[rows] & (share == n))
+                t, toxic = token[chosen], labels[rows[chosen]]
+                one = np.unique(context[chosen] ^ (t << U(1)) ^ toxic.astype(U), return_index=True)[1]
+                found, at = np.unique(t[one], return_inverse=True)
+                names.append(found)
+                bad.append(np.bincount(at, toxic[one], len(found)))
+                both.append(np.bincount(at, minlength=len(found)))
+            names, bad, both = np.concatenate(names), np.concatenate(bad), np.concatenate(both)
+            score, enough = log_odds(bad, both - bad), both >= KNOWN
             if k:
                 enough &= score > 0
-            out.append((names[enough], score[enough]))
+            names, score = names[enough], score[enough]
+            by = np.argsort(names)
+            out.append((names[by], score[by]))
         return out
 
     def _use(self, tables: dict[int, list[tuple[np.ndarray, np.ndarray]]], n: int) -> None:
