@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -65,3 +68,11 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
+
+
+def release() -> None:
+    """Give freed memory back to the system, after a model was fitted on the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

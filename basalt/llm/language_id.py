@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import fold, pieces, text_bytes
+from basalt.llm._spark import fold, pieces, release, text_bytes
 from basalt.llm._tokens import LOWER, OTHER
 
 UND = "und"
@@ -144,7 +144,10 @@ def learn(docs: DataFrame, lang: str = "lang", sample_rows: int = 6000, doc_id:
     got = rows.filter("text IS NOT NULL").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if got.num_rows else got
     texts = pa.chunked_array(got.column("text")).combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return Model(**options).fit(texts, got.column("lang").to_pylist())
+    model = Model(**options).fit(texts, got.column("lang").to_pylist())
+    del got, texts
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

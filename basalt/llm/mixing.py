@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import cut, pieces, text_bytes
+from basalt.llm._spark import cut, pieces, release, text_bytes
 from basalt.llm._tokens import OTHER, Tokens, U
 
 PLACES, SHARES = 1 << 16, 5
@@ -66,7 +66,7 @@ class Model:
         goal = np.searchsorted(self.domains, labels)
         half, counts, parts = np.arange(len(goal)) % 2, np.zeros((2, PLACES, d)), []
         batch = pa.record_batch([texts, pa.array(np.arange(len(texts)))], ["text", "row"])
-        for piece in pieces(iter([batch]), 0):
+        for piece in pieces(iter([batch]), 0, 1 << 19):
             t, place, shares = _features(*text_bytes(piece.column(0)))
             rows = piece.column(1).to_numpy()
             key = np.unique(t.row * np.int64(PLACES) + place)  # once for each text
@@ -135,7 +135,10 @@ def learn(docs: DataFrame, labels: DataFrame, domain: str, sample_rows: int = 60
     got = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()  # about sample_rows rows
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if got.num_rows else got
     texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return Model().fit(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, got.column("domain").to_pylist())
+    model = Model().fit(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, got.column("domain").to_pylist())
+    del got, texts
+    release()
+    return model
 
 
 def posteriors(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import fold, pieces, text_bytes
+from basalt.llm._spark import fold, pieces, release, text_bytes
 from basalt.llm._tokens import OTHER, Tokens, U, mix
 
 BEGINNINGS = (6, 5, 4)
@@ -78,7 +78,7 @@ class Model:
 
     def _read(self, texts: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarray, Tokens, np.ndarray]]:
         batch = pa.record_batch([texts.take(pa.array(rows)), pa.array(rows)], ["text", "row"])
-        for piece in pieces(iter([batch]), 0):
+        for piece in pieces(iter([batch]), 0, 1 << 19):
             tokens = Tokens(*text_bytes(piece.column(0)), OTHER, latin=True)
             yield piece.column(1).to_numpy(), tokens, self.score_tokens(tokens)
 
@@ -89,7 +89,7 @@ class Model:
         """
         token, context, rows = [], [], []
         batch = pa.record_batch([texts, pa.array(np.arange(len(texts)))], ["text", "row"])
-        for piece in pieces(iter([batch]), 0):
+        for piece in pieces(iter([batch]), 0, 1 << 19):
             tokens = Tokens(*text_bytes(piece.column(0)), OTHER, latin=True)
             row, words = piece.column(1).to_numpy()[tokens.row].astype(np.int32), tokens.words()
             if k:
@@ -259,7 +259,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 6000, mod: int | None = 4, rest: int = 2) -> Model:
     texts, marks = labelled_sample(docs, labels, label, sample_rows, mod=mod, rest=rest)
-    return Model(sample_rows).fit(texts, marks.astype(float) > 0)
+    model = Model(sample_rows).fit(texts, marks.astype(float) > 0)
+    del texts
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
