@@ -40,7 +40,14 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long rows: unless the session says otherwise, 2,000 of them make an Arrow batch, not 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows that hold about ``limit`` bytes of text each.
 
     A row of more bytes makes a run of its own, so memory follows the longest text.
@@ -55,6 +62,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()  # workers are used again: what a task has freed shouldn't stay with them
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +81,11 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def release() -> None:
     """Give freed memory back to the system, after a model was fitted on the driver."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give back what is free already."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import fold, pieces, release, text_bytes
+from basalt.llm._spark import fold, pieces, release, short_batches, text_bytes
 from basalt.llm._tokens import LOWER, OTHER
 
 UND = "und"
@@ -152,6 +152,7 @@ def learn(docs: DataFrame, lang: str = "lang", sample_rows: int = 6000, doc_id:
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and rejected of each row."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # places x clusters x languages, bounded by sample_rows
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import cut, pieces, release, text_bytes
+from basalt.llm._spark import cut, pieces, release, short_batches, text_bytes
 from basalt.llm._tokens import OTHER, Tokens, U
 
 PLACES, SHARES = 1 << 16, 5
@@ -143,6 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, domain: str, sample_rows: int = 60
 
 def posteriors(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens and posterior (an array over ``model.domains``) of each row."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # PLACES x domains
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm._graph import components
-from basalt.llm._spark import cut, parallelism, pieces, text_bytes
+from basalt.llm._spark import cut, parallelism, pieces, short_batches, text_bytes, trim
 from basalt.llm._tokens import Tokens, U, mix
 
 #: The part of a set by which its first prefix is longer than one shared shingle needs.
@@ -279,6 +279,7 @@ def _verify(size: int, num: int, den: int):
         doc, block = np.concatenate(docs), np.concatenate(blocks)
         once = np.unique(doc, return_index=True)[1]
         edges = linked(doc[once], [sets[k] for k in once], block[once], num, den)
+        trim()
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
@@ -287,6 +288,7 @@ def _verify(size: int, num: int, den: int):
 def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of each document."""
     spark = docs.sparkSession
+    short_batches(spark)
     buckets = parallelism(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     sent = rows.mapInArrow(_prefixes(size, num, den, buckets), SCHEMA)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import pieces
+from basalt.llm._spark import pieces, short_batches
 
 MARK = "▁"
 MEMO, MEMO_CHARS, PAIRS = 250_000, 48, 1_000_000
@@ -273,12 +273,13 @@ def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "t
 
 def encode_with(docs: DataFrame, model: bytes, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of each row, and its ids."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*keep, F.col(text).alias("__said"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
-        for piece in pieces(batches, len(keep), 4 << 20):
+        for piece in pieces(batches, len(keep), 2 << 20):
             yield pa.record_batch([*(piece.column(k) for k in range(len(keep))), _encoded(codec, piece.column(len(keep)))], [*keep, "ids"])
 
     kinds = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
@@ -307,12 +308,13 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_ids, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 and same (decoded text is the text)."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
-        for piece in pieces(batches, 1, 4 << 20):
+        for piece in pieces(batches, 1, 2 << 20):
             rows = []
             for t in piece.column(1):
                 said = t.as_py() or ""

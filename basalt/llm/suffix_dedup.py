@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import cut, parallelism, pieces, text_bytes
+from basalt.llm._spark import cut, parallelism, pieces, short_batches, text_bytes, trim
 from basalt.llm._tokens import U, mix, powers
 
 SHARD, PART, GROUP, GRAM = 1 << 20, 4 << 20, 6 << 20, 32
@@ -417,6 +417,7 @@ def _decide(length: int, groups: int):
             places.append(lo.astype(np.int64))
             parts += [said[a : a + s] for a, s in zip(at.tolist(), size.tolist(), strict=True)]
         joined = Joined(np.concatenate(docs), np.concatenate(places), parts, length)
+        trim()
         found = joined.spans(repeats(joined.b, joined.valid, joined.order, length), length)
         return _table(list(_blobs(found, _home(found["doc"], groups), SPANS, NAMES)))
 
@@ -465,6 +466,7 @@ def _finish(kind: pa.DataType):
 def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (first byte, byte after the last) of each row."""
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = 4 * parallelism(spark), max(1, total // GROUP + 1)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import fold, pieces, release, text_bytes
+from basalt.llm._spark import fold, pieces, release, short_batches, text_bytes
 from basalt.llm._tokens import OTHER, Tokens, U, mix
 
 BEGINNINGS = (6, 5, 4)
@@ -267,6 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score and passages (start, end in bytes of UTF-8, score, expect) of each row."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample_rows
     kind = docs.schema[doc_id].dataType.simpleString()
     out = f"doc_id {kind}, score double, passages array<struct<start:long,end:long,score:double,expect:double>>"
@@ -283,6 +284,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``least``, all columns as they are, in one pass."""
+    short_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
