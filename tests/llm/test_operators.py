@@ -268,6 +268,34 @@ def test_gradient():
         assert (up - down) / 2e-2 == pytest.approx(g[name][at], rel=0.05, abs=2e-4)
 
 
+def test_attention_learns_from_every_text():
+    """Passes over partitions cover each place, and texts that no sample holds move the averaged weights."""
+    import pickle
+
+    from basalt.llm._spark import text_bytes
+    from basalt.llm.queries import TOKENIZERS
+
+    subwords = lm_score.Subwords(lm_score.load_ranks(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+    sent = type("Sent", (), {"value": (subwords, lm_score.Attention().w)})
+    stream = lambda texts: lm_score.Stream(*text_bytes(pa.array(texts)), subwords)
+
+    def fit(texts):
+        batches = [pa.record_batch([pa.array(texts[k : k + 50])], ["text"]) for k in range(0, len(texts), 50)]
+        rows = [r for b in lm_score._count(sent, 3, 2)(iter(batches)) for r in b.to_pylist() if r["kind"] == lm_score.WEIGHTS]
+        model = lm_score.Attention()
+        windows, model.w = lm_score._whole([pickle.loads(r["data"]) for r in rows])
+        model.ready()
+        return windows, model
+
+    plain, odd = ["the cat sat on the mat and looked at the rain"] * 1000, ["seven green lamps hum under every quiet bridge"] * 1000
+    few, many = fit(plain[:500]), fit(plain)
+    assert many[0] >= 1.9 * few[0] and many[0] * lm_score.STEP >= len(stream(plain).y)
+    s = stream(odd[:20])
+    without, within = many[1].score(s.x, s.y, s.row).mean(), fit(plain + odd)[1].score(s.x, s.y, s.row).mean()
+    assert within > without + 0.5
+    assert fit(["a"])[0] == 1  # shorter than a window
+
+
 def test_base_score(spark, texts, small):
     import math
     import zlib
