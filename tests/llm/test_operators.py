@@ -241,6 +241,22 @@ def test_each_subword_is_scored_once_and_causally():
     assert np.allclose(whole[41:], other[41:], atol=1e-5)
 
 
+def test_how_far_a_subword_sees():
+    """The last place of a window knows 31 subwords before its own, the first 8."""
+    model, r = lm_score.Attention(), np.random.default_rng(4)
+    model.w = {k: v * 3 for k, v in model.w.items()}
+    model.ready()
+    y, row = r.integers(0, lm_score.VOCAB, 96).astype(np.uint16), np.zeros(96, int)
+    x = np.concatenate([[lm_score.END], y[:-1]]).astype(np.uint16)
+    whole, reach = model.score(x, y, row), np.zeros(96, int)
+    for k in range(96):
+        other = x.copy()
+        other[k] = (int(x[k]) + 2000) % lm_score.END
+        seen = np.flatnonzero(model.score(other, y, row) != whole)
+        reach[seen] = np.maximum(reach[seen], seen - k)
+    assert reach.max() == 31 and reach[40:].min() >= 8
+
+
 def test_gradient():
     r = np.random.default_rng(2)
     model = lm_score.Attention()
