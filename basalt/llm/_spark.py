@@ -84,6 +84,12 @@ def release() -> None:
     trim()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Files of shuffles and checkpoints that nothing refers to any more go now; else they wait for the driver's collector."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def trim() -> None:
     """Give back what is free already."""
     pa.default_memory_pool().release_unused()

@@ -12,9 +12,10 @@ nearest. Each round is three exchanges of packed arrays between blocks and ends
 shared folder. Rounds end when few edges change.
 
 Search. A query starts from the list of its own node and, round by round, visits the
-nearest nodes not yet visited and keeps the nearest of what their lists hold. Between blocks
-vectors travel scaled and in half precision; the beam is wider than the answer, and all of
-it is scored by inner products of the original vectors in double precision.
+nearest nodes not yet visited and keeps the nearest of what their lists hold, until no node
+of the beam is left to visit. Between blocks vectors travel scaled and in single precision,
+which tells near copies apart; the beam is wider than the answer, and all of it is scored by
+inner products of the original vectors in double precision.
 
 Memory follows the block: its nodes times the members of a list. Nothing is broadcast and
 only counts go to the driver.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm._spark import cut
+from basalt.llm._spark import cut, sweep
 from basalt.llm._tokens import U, mix
 
 BLOCK, LEAF, TREES = 4096, 256, 3
@@ -189,7 +190,7 @@ def _send(table: pa.Table) -> pa.Table:
         own = got[VECTORS][0]
         for w in got[WANTED]:
             at = np.searchsorted(own["nodes"], w["ids"])
-            rows.append(_row(int(w["by"][0]), SENT, ids=w["ids"], x=own["x"][at].astype(np.float16)))
+            rows.append(_row(int(w["by"][0]), SENT, ids=w["ids"], x=own["x"][at]))
     return pa.concat_tables([keep.select(NAMES), _table(rows)])
 
 
@@ -203,7 +204,7 @@ def _compare(top: int, blocks: int) -> Callable:
             return keep
         ids, x = _joined(got[SENT], "ids", "x")
         by = np.argsort(ids)
-        ids, x = ids[by], x[by].astype(np.float32)
+        ids, x = ids[by], x[by]
         lists = got[MEMBERS][0]
         owner, other, score = [], [], []
         for at in range(0, len(lists["ids"]), 64):
@@ -298,13 +299,18 @@ class Graph:
             sent = met.unionByName(vectors).groupBy("b").applyInArrow(_send, SCHEMA)
             compared = sent.groupBy("b").applyInArrow(_compare(12, blocks), SCHEMA)
             now = cut(compared.groupBy("b").applyInArrow(_update(k, blocks), SCHEMA))
+            del met, sent, compared
+            sweep(now.sparkSession)
             fresh = now.filter(F.col("kind") == STATE).agg(F.sum(changed("data"))).first()[0] or 0
             if fresh < 0.01 * k * self.count:
                 break
         self.edges, self.vectors = now, vectors
 
-    def search(self, queries: DataFrame, top: int = 20, beam: int = 96, visits: int = 48, rounds: int = 2) -> DataFrame:
-        """query_id, rank, vec_id and score of the ids in ``queries`` (column query_id) that name rows of the table."""
+    def search(self, queries: DataFrame, top: int = 20, beam: int = 96, visits: int = 48, rounds: int | None = None) -> DataFrame:
+        """query_id, rank, vec_id and score of the ids in ``queries`` (column query_id) that name rows of the table.
+
+        Without ``rounds`` search goes on until the beams hold no node that is not visited.
+        """
         blocks, rows = self.blocks, self.rows
         asked = queries.select(F.col("query_id").cast("long").alias("id")).distinct().join(rows, "id")
         asked = cut(asked.withColumnRenamed("id", "query_id").join(self.nodes.select("raw", "node"), "raw").select("query_id", "node"))
@@ -314,9 +320,14 @@ class Graph:
         sent = wanted.unionByName(self.vectors).groupBy("b").applyInArrow(_send, SCHEMA)
         tables = cut(sent.filter(F.col("kind").isin(STATE, MEMBERS, SENT, VECTORS)))
         beams = cut(starts.unionByName(tables).groupBy("b").applyInArrow(_open(beam, visits, blocks), SCHEMA))
-        for last in [False] * (rounds - 1) + [True]:
+        del wanted, sent
+        done = 0
+        while done != rounds and not beams.filter(F.col("kind") == ASK).isEmpty():
+            done += 1
             seen = beams.unionByName(tables.filter(F.col("kind") != VECTORS)).groupBy("b").applyInArrow(_visit(beam, blocks), SCHEMA)
-            beams = cut(seen.groupBy("b").applyInArrow(_keep(beam, 0 if last else visits, blocks), SCHEMA))
+            beams = cut(seen.groupBy("b").applyInArrow(_keep(beam, 0 if done == rounds else visits, blocks), SCHEMA))
+            del seen
+            sweep(beams.sparkSession)
         near = beams.filter(F.col("kind") == FOUND).mapInArrow(_answers, "node long, other long")
         own = asked.select("node").distinct().select("node", F.col("node").alias("other"))
         pairs = near.unionByName(own).distinct()
@@ -380,7 +391,7 @@ def _open(beam: int, visits: int, blocks: int) -> Callable:
         x[:, -1] = 0  # from here on nearness is the inner product alone
         near, where = _joined(got[SENT], "x", "ids")
         by = np.argsort(where)
-        near, where = near[by].astype(np.float32), where[by]
+        near, where = near[by], where[by]
         done = ids < 0
         scores = np.einsum("ij,ikj->ik", x, near[np.minimum(np.searchsorted(where, ids), len(where) - 1)]) if len(where) else scores
         scores[done] = -np.inf
@@ -404,7 +415,7 @@ def _visit(beam: int, blocks: int) -> Callable:
         nodes, members = got[STATE][0]["nodes"], got[MEMBERS][0]["ids"]
         ids, x = _joined(got[SENT], "ids", "x")
         by = np.argsort(ids)
-        ids, x = ids[by], x[by].astype(np.float32)
+        ids, x = ids[by], x[by]
         for ask in got[ASK]:
             lists = members[np.searchsorted(nodes, ask["node"])]
             row, member = np.repeat(ask["at"], lists.shape[1]), lists.ravel()

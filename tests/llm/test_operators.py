@@ -359,3 +359,24 @@ def test_recall_and_search(spark):
     poor = neighbours.Graph(vectors, k=10, rounds=1)
     few, many = (recall(poor.search(queries, beam=60, visits=20, rounds=r)) for r in (1, 4))
     assert many > few + 0.1
+
+
+def test_recall_among_near_copies(spark):
+    """A large group of near but not equal vectors: order below the rounding of half precision still counts."""
+    from basalt.llm import neighbours
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=64) / 8 + r.normal(size=(5000, 64)) * (0.005 / 8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 5000, 100))
+    got: dict[int, set] = {}
+    for f in neighbours.Graph(table).search(spark.createDataFrame([(k,) for k in asked], "query_id long")).collect():
+        got.setdefault(f.query_id, set()).add(f.vec_id)
+    hits = []
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
+    print("recall", np.mean(hits))
+    assert np.mean(hits) >= 0.8
