@@ -285,12 +285,25 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
+def _sizes(size: int):
+    """Sizes of the sets of rows that have no id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, 0):
+            n = [len(s) for s in shingle_sets(Tokens(*text_bytes(piece.column(0))), size)]
+            yield pa.record_batch([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    return run
+
+
 def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of each document."""
     spark = docs.sparkSession
     short_batches(spark)
     buckets = parallelism(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    nameless = rows.filter("doc_id IS NULL").select("text").mapInArrow(_sizes(size), "doc_id long, n_shingles long, component_id long")
+    rows = rows.filter("doc_id IS NOT NULL")
     sent = rows.mapInArrow(_prefixes(size, num, den, buckets), SCHEMA)
     counted = cut(sent.groupBy("kind", "bucket").applyInArrow(_count(buckets), SCHEMA))
     about = cut(counted.groupBy("bucket").applyInArrow(_judge(num, den), "doc_id long, n_shingles long, f long, g long, may boolean, rare array<long>"))
@@ -310,7 +323,7 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     member = about.filter("may").join(alike, ["n_shingles", "f", "g"]).select("doc_id", "rep")
     named = member.join(linked_to.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     got = about.select("doc_id", "n_shingles").join(named, "doc_id", "left")
-    return got.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return got.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(nameless)
 
 
 def _blocks(members: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
@@ -333,5 +346,5 @@ def _blocks(members: DataFrame, large: DataFrame, num: int, den: int) -> DataFra
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns; rows without an id stay."""
-    gone = near_components(docs, size, num, den, doc_id, text).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id"))
+    gone = near_components(docs.filter(F.col(doc_id).isNotNull()), size, num, den, doc_id, text).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id"))
     return docs.join(gone, F.col(doc_id) == F.col("__gone_id"), "left_anti")

@@ -60,6 +60,12 @@ def test_ngram_join(messy, none):
     assert kept.columns == messy.columns and kept.filter("doc_id is null").count() == 2
 
 
+def test_ngram_join_of_rows_without_id(messy):
+    rows = ngram_join.near_components(messy, 3, 90, 100).collect()
+    assert len(rows) == len(TEXTS) + 2  # an id that is repeated stands for one document
+    assert sorted((r.n_shingles, r.component_id) for r in rows if r.doc_id is None) == [(0, None), (2, None)]
+
+
 def test_suffix(messy, none):
     got = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.remove_repeats(messy).collect()}
     assert got[(0, 0)].n_removed == 0 and got[(6, 150003)].n_removed > 149000
