@@ -1,29 +1,33 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search.
 
-Equal vectors are one node, which knows its smallest ids; so copies neither crowd lists nor
-meet in one task. Inner product becomes distance by one more component, which gives every
-vector the length of the longest. Nodes are hashed to blocks of about ``BLOCK``.
-
-Graph. Lists start from a few random-hyperplane groups. Then, in each round of NN-descent,
-edges are joined with their reverse, each node's list fetches its members' vectors (one
-copy of a vector for each block that needs it), members of a list are compared with each
-other (neighbours of neighbours, pairs with a new edge only), and each node keeps its
-nearest. Each round is three exchanges of packed arrays between blocks and ends in the
-shared folder. Rounds end when few edges change.
+Equal vectors are one node, so copies neither crowd lists nor meet in one task. Inner
+product becomes distance by one more component, which gives every vector the length of the
+longest. A tree of median cuts, fitted on a bounded sample (``SAMPLE`` vectors), places nodes
+that lie near each other in one block of about ``BLOCK``; a node's number holds its block.
+
+Graph. Lists start from the nearest in the own block and in the leaf of a second tree. Then,
+in each round of NN-descent, every node joins its neighbours, in both directions, with each
+other (pairs with a new edge only). Neighbours are joined as numbers; a block then fetches
+one copy of the vectors of other blocks that its joins need, together with the worst score
+of each one's list, and sends only pairs that improve a list. Each round is four exchanges of
+packed arrays and ends in the shared folder. Rounds end when few edges change.
 
 Search. A query starts from the list of its own node and, round by round, visits the
-nearest nodes not yet visited and keeps the nearest of what their lists hold, until no node
-of the beam is left to visit. Between blocks vectors travel scaled and in single precision,
-which tells near copies apart; the beam is wider than the answer, and all of it is scored by
-inner products of the original vectors in double precision.
+nearest nodes not yet visited; the members of their lists are scored where their vectors
+lie, by inner products of the original vectors in double precision, and the nearest stay in
+the query's beam, until the beam holds no node that is not visited. Vectors of nodes stay
+where they are; only the query's vector travels.
 
-Memory follows the block: its nodes times the members of a list. Nothing is broadcast and
-only counts go to the driver.
+Memory follows the block: its nodes times the members of a list; wider vectors make smaller
+blocks. A block sends at most ``2 * k`` edges to one node that many have as neighbour.
+Nothing is broadcast but the trees; the sample and counts go to the driver.
 
 Defined cases: vectors that are null, empty, all nought or hold null or non-finite components
-take no part; so do those of another length than the longest; ties go to the smaller id; a
-query never finds its own row, but does find copies; fewer candidates than asked for are all
-given when the graph is small enough to hold them; an empty table gives an empty result.
+take no part; so do those of another length than the longest, and rows without an id; ties go
+to the smaller id; a query never finds its own row, but does find copies; fewer candidates
+than asked for are all given; a table of one distinct vector gives each query its copies; an
+empty table gives an empty result; other columns of the table, whatever their names, don't
+matter.
 """
 
 from __future__ import annotations
@@ -39,17 +43,25 @@ from pyspark.sql import functions as F
 from basalt.llm._spark import cut, sweep
 from basalt.llm._tokens import U, mix
 
-BLOCK, LEAF, TREES = 4096, 256, 3
-SCHEMA, NAMES = "b long, kind int, data binary", ["b", "kind", "data"]
-STATE, REVERSE, VECTORS, MEMBERS, WANTED, SENT, FOUND, ASK = range(8)
+#: Nodes of a block of 64 components; vectors from which the trees are fitted.
+BLOCK, SAMPLE = 4096, 1 << 15
+#: A node's number: its block, then its place there.
+SHIFT = 20
+SCHEMA, NAMES = "b long, kind int, n long, data binary", ["b", "kind", "n", "data"]
+VECTORS, STATE, REVERSE, MEMBERS, WANTED, SENT, FOUND, QUERY, VISIT, SCORE = range(10)
+OLD, NEW, PICKED, FOUND_NOW = range(4)
+
+
+# packed arrays between blocks
 
 
-def _row(b: int, kind: int, **arrays: np.ndarray) -> tuple[int, int, bytes]:
-    return b, kind, pickle.dumps(arrays, 5)
+def _row(b: int, kind: int, n: int = 0, **arrays: np.ndarray) -> tuple[int, int, int, bytes]:
+    return b, kind, n, pickle.dumps(arrays, 5)
 
 
-def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], NAMES)
+def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], NAMES)
 
 
 def _read(table: pa.Table) -> dict[int, list[dict[str, np.ndarray]]]:
@@ -59,179 +71,254 @@ def _read(table: pa.Table) -> dict[int, list[dict[str, np.ndarray]]]:
     return out
 
 
-def _home(ids: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U)) % U(blocks)).astype(np.int64)
+def _only(table: pa.Table, *kinds: int) -> pa.Table:
+    return table.filter(pa.compute.is_in(table.column("kind"), pa.array(kinds, pa.int32()))).select(NAMES)
+
+
+def _here(table: pa.Table) -> int:
+    return int(table.column("b")[0].as_py())
 
 
-def _deal(kind: int, home: np.ndarray, **arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Arrays cut by block."""
+def _starts(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    if not len(sorted_values):
+        return []
+    edges = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1], [True]])).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _deal(kind: int, node: np.ndarray, **arrays: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Arrays cut by the block of ``node``, which is sent as its place there."""
+    home = node >> SHIFT
     by = np.argsort(home, kind="stable")
-    home = home[by]
-    edges = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(home) else np.zeros(1, int)
-    return [_row(int(home[a]), kind, **{k: v[by[a:e]] for k, v in arrays.items()}) for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    home, at = home[by], (node[by] & ((1 << SHIFT) - 1)).astype(np.int32)
+    return [_row(int(home[a]), kind, at=at[a:e], **{k: v[by[a:e]] for k, v in arrays.items()}) for a, e in _starts(home)]
 
 
 def _joined(parts: list[dict[str, np.ndarray]], *names: str) -> list[np.ndarray]:
     return [np.concatenate([p[n] for p in parts]) for n in names]
 
 
-def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, new: np.ndarray, nodes: np.ndarray, k: int) -> dict[str, np.ndarray]:
-    """The k nearest others of each node; an edge known before stays old."""
-    by = np.lexsort((new, other, owner))
-    owner, other, score, new = owner[by], other[by], score[by], new[by]
-    once = np.append(True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1]))[: len(owner)]
-    owner, other, score, new = owner[once], other[once], score[once], new[once]
-    by = np.lexsort((other, -score, owner))
-    owner, other, score, new = owner[by], other[by], score[by], new[by]
-    at = np.searchsorted(nodes, owner)
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    keep = rank < k
-    at, rank = at[keep], rank[keep]
-    ids, scores, fresh = np.full((len(nodes), k), -1, np.int64), np.full((len(nodes), k), -np.inf, np.float32), np.zeros((len(nodes), k), bool)
-    ids[at, rank], scores[at, rank], fresh[at, rank] = other[keep], score[keep], new[keep]
-    return {"nodes": nodes, "ids": ids, "scores": scores, "new": fresh}
-
-
-def _nearest_in_leaf(k: int, blocks: int) -> Callable:
+def _rank(sorted_values: np.ndarray) -> np.ndarray:
+    return np.arange(len(sorted_values)) - np.searchsorted(sorted_values, sorted_values)
+
+
+def _best(at: np.ndarray, other: np.ndarray, score: np.ndarray, flag: np.ndarray, n: int, k: int, *more: np.ndarray) -> list[np.ndarray]:
+    """The k nearest others of each of n nodes: ids (-1: none), scores and flags (the least of an edge given twice), and so on."""
+    by = np.lexsort((flag, other, at))
+    by = by[np.append(True, (np.diff(at[by]) != 0) | (np.diff(other[by]) != 0))[: len(by)]]
+    by = by[np.lexsort((other[by], -score[by], at[by]))]
+    rank = _rank(at[by])
+    by, rank = by[rank < k], rank[rank < k]
+    out = []
+    for values, none in ((other, -1), (score, -np.inf), (flag, OLD), *((m, -1) for m in more)):
+        table = np.full((n, k), none, values.dtype)
+        table[at[by], rank] = values[by]
+        out.append(table)
+    return out
+
+
+# trees
+
+
+class Tree:
+    """Median cuts of a sample, level by level; below its leaves, signs of random directions about each leaf's mean."""
+
+    def __init__(self, x: np.ndarray, depth: int, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.fitted = min(depth, max(0, int(np.log2(max(len(x), 1) / 32))))
+        self.normals = np.zeros(((1 << self.fitted) - 1, x.shape[1]), np.float32)
+        self.cuts = np.zeros(len(self.normals), np.float32)
+        at = np.zeros(len(x), np.int64)
+        for level in range(self.fitted):
+            for node in range((1 << level) - 1, (2 << level) - 1):
+                mine = np.flatnonzero(at == node)
+                if len(mine) > 1:
+                    a, b = x[rng.choice(mine, 2, replace=False)]
+                    self.normals[node] = a - b
+                    self.cuts[node] = np.median(x[mine] @ self.normals[node])
+            at = self._down(x, at)
+        leaves = at - len(self.normals)
+        self.means = np.zeros((1 << self.fitted, x.shape[1]), np.float32)
+        np.add.at(self.means, leaves, x)
+        self.means /= np.maximum(np.bincount(leaves, minlength=len(self.means)), 1)[:, None]
+        self.signs = rng.normal(size=(x.shape[1], depth - self.fitted)).astype(np.float32)
+
+    def _down(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return 2 * at + 1 + (np.einsum("ij,ij->i", x, self.normals[at]) > self.cuts[at])
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(self.fitted):
+            at = self._down(x, at)
+        leaf = at - len(self.normals)
+        bits = ((x - self.means[leaf]) @ self.signs > 0) @ (1 << np.arange(self.signs.shape[1]))
+        return (leaf << self.signs.shape[1]) + bits
+
+
+def _lift(raw: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors scaled, with the component that makes all as long as the longest."""
+    x = raw.astype(np.float64) / np.sqrt(longest)
+    added = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+    return np.concatenate([x, added[:, None]], 1).astype(np.float32)
+
+
+def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k nearest others of each row; as many as there are."""
+    n = min(k, len(x) - 1)
+    ids, scores = np.zeros((len(x), n), np.int64), np.zeros((len(x), n), np.float32)
+    for a in range(0, len(x) if n else 0, 512):
+        near = x[a : a + 512] @ x.T
+        near[np.arange(len(near)), np.arange(a, a + len(near))] = -np.inf
+        top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        ids[a : a + 512], scores[a : a + 512] = top, np.take_along_axis(near, top, 1)
+    return ids, scores
+
+
+def _leaf(k: int) -> Callable:
+    """The nearest in a leaf of the second tree, sent to the nodes' blocks."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_numpy()
-        order = np.argsort(ids)
-        ids, x = ids[order], _matrix(table.column("vec"))[order]
-        rows = []
-        for at in range(0, len(ids), 2 * LEAF):
-            part, y = ids[at : at + 2 * LEAF], x[at : at + 2 * LEAF]
-            if len(part) < 2:
-                continue
-            near = y @ y.T
-            np.fill_diagonal(near, -np.inf)
-            n = min(k, len(part) - 1)
-            top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            owner = np.repeat(part, n)
-            rows += _deal(FOUND, _home(owner, blocks), owner=owner, other=part[top].ravel(), score=np.take_along_axis(near, top, 1).ravel())
-        return _table(rows)
+        node = table.column("node").to_numpy()
+        order = np.argsort(node)
+        node, x = node[order], np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(len(node), -1)[order]
+        top, score = _nearest(x, k)
+        return _table(_deal(FOUND, np.repeat(node, top.shape[1]), other=node[top].ravel(), score=score.ravel()))
 
     return run
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    raw = b"".join(x.as_py() for x in column)
-    return np.frombuffer(raw, np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
+# rounds of NN-descent
+
+
+def _known(own: dict[str, np.ndarray] | None) -> list[np.ndarray]:
+    """Owners' places, others, scores and flags of a state; edges of the last round are old now."""
+    if own is None:
+        return [np.zeros(0, t) for t in (np.int64, np.int64, np.float32, np.int8)]
+    has = own["ids"] >= 0
+    flag = own["flag"][has]
+    return [np.repeat(np.arange(len(has)), has.sum(1)), own["ids"][has], own["scores"][has], np.where(flag == PICKED, OLD, flag).astype(np.int8)]
 
 
-def _update(k: int, blocks: int, reverse: bool = True) -> Callable:
-    """Lists take in what was found; then each edge goes to the block of its other end."""
+def _update(k: int, picks: int, longest: float) -> Callable:
+    """Lists take in what was found and pick new edges for the next join; each edge then goes to the block of its other end."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = _read(table)
-        if VECTORS not in got:
-            return _table([])
-        nodes = got[VECTORS][0]["nodes"]
-        owner, other, score, new = [], [], [], []
-        for s in got.get(STATE, []):
-            has = s["ids"] >= 0
-            owner.append(np.repeat(s["nodes"], has.sum(1)))
-            other.append(s["ids"][has])
-            score.append(s["scores"][has])
-            new.append(np.zeros(int(has.sum()), bool))
-        for f in got.get(FOUND, []):
-            owner.append(f["owner"])
-            other.append(f["other"])
-            score.append(f["score"])
-            new.append(np.ones(len(f["owner"]), bool))
-        lists = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((owner, np.int64), (other, np.int64), (score, np.float32), (new, bool))]
-        state = _best(*lists, nodes, k)
-        b = int(table.column("b")[0].as_py())
-        rows = [_row(b, STATE, **state)]
-        if reverse:
-            has = state["ids"] >= 0
-            there, here = state["ids"][has], np.repeat(nodes, has.sum(1))
-            rows += _deal(REVERSE, _home(there, blocks), node=there, member=here, new=state["new"][has])
-        return _table(rows)
+        got, b = _read(table), _here(table)
+        own = got[VECTORS][0]["raw"]
+        lists = [_known(s) for s in got.get(STATE, [None])]
+        if STATE not in got:  # the first lists are those of the block
+            top, score = _nearest(_lift(own, longest), k)
+            lists.append([np.repeat(np.arange(len(own)), top.shape[1]), (b << SHIFT) + top.ravel(), score.ravel(), np.full(top.size, FOUND_NOW, np.int8)])
+        lists += [[f["at"].astype(np.int64), f["other"], f["score"], np.full(len(f["at"]), FOUND_NOW, np.int8)] for f in got.get(FOUND, [])]
+        ids, scores, flag = _best(*(np.concatenate(v) for v in zip(*lists, strict=True)), len(own), k)
+        fresh = int((flag == FOUND_NOW).sum())
+        flag[flag == FOUND_NOW] = NEW
+        new = flag == NEW
+        # of the new edges, the nearest are picked; the others wait
+        picked = new & (np.cumsum(new, 1) <= picks)
+        flag[picked] = PICKED
+        has = (ids >= 0) & (flag != NEW)
+        here, there, on = np.repeat(np.arange(len(own)), has.sum(1)), ids[has], flag[has]
+        by = np.lexsort((here, -scores[has], on == OLD, there))
+        by = by[_rank(there[by]) < 2 * k]  # for a node that very many have as neighbour
+        back = _deal(REVERSE, there[by], member=here[by] + (b << SHIFT), flag=on[by])
+        return _table([_row(b, STATE, fresh, ids=ids, scores=scores, flag=flag), *back])
 
     return run
 
 
-def _members(cap: int, blocks: int) -> Callable:
-    """Members of each list, edges in both directions; asks for the vectors that the block needs."""
+def _both_ways(got: dict[int, list[dict[str, np.ndarray]]], new: int, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of each list, edges in both directions (-1: none), and which are picked: at most ``new`` and ``old`` of them."""
+    state = got[STATE][0]
+    has = (state["ids"] >= 0) & (state["flag"] != NEW)
+    at, member, flag = np.repeat(np.arange(len(has)), has.sum(1)), state["ids"][has], state["flag"][has]
+    if REVERSE in got:
+        a, m, f = _joined(got[REVERSE], "at", "member", "flag")
+        at, member, flag = np.concatenate([at, a]), np.concatenate([member, m]), np.concatenate([flag, f])
+    by = np.lexsort((flag == OLD, member, at))
+    by = by[np.append(True, (np.diff(at[by]) != 0) | (np.diff(member[by]) != 0))[: len(by)]]
+    at, member, fresh = at[by], member[by], flag[by] == PICKED
+    out = []
+    for wanted, most in ((fresh, new), (~fresh, old)):
+        a, m = at[wanted], member[wanted]
+        by = np.lexsort((mix(m.view(U) * U(31) + a.astype(U)), a))
+        a, m = a[by], m[by]
+        rank = _rank(a)
+        table = np.full((len(has), most), -1, np.int64)
+        table[a[rank < most], rank[rank < most]] = m[rank < most]
+        out.append(table)
+    return out[0], out[1]
+
+
+def _members(k: int, picks: int) -> Callable:
+    """Lists to join, and the numbers of the vectors that they need from other blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = _read(table)
-        b, state = int(table.column("b")[0].as_py()), got[STATE][0]
-        nodes, has = state["nodes"], state["ids"] >= 0
-        node, member, new = np.repeat(nodes, has.sum(1)), state["ids"][has], state["new"][has]
-        if REVERSE in got:
-            n2, m2, w2 = _joined(got[REVERSE], "node", "member", "new")
-            node, member, new = np.concatenate([node, n2]), np.concatenate([member, m2]), np.concatenate([new, w2])
-        by = np.lexsort((~new, member, node))
-        node, member, new = node[by], member[by], new[by]
-        once = np.append(True, (node[1:] != node[:-1]) | (member[1:] != member[:-1]))[: len(node)]
-        node, member, new = node[once], member[once], new[once]
-        # of more members than the cap, new ones first, then those that a hash chooses
-        by = np.lexsort((mix(member.view(U) * U(31) + node.view(U)), ~new, node))
-        node, member, new = node[by], member[by], new[by]
-        rank = np.arange(len(node)) - np.searchsorted(node, node)
-        keep = rank < cap
-        at, rank, member, new = np.searchsorted(nodes, node[keep]), rank[keep], member[keep], new[keep]
-        ids, fresh = np.full((len(nodes), cap), -1, np.int64), np.zeros((len(nodes), cap), bool)
-        ids[at, rank], fresh[at, rank] = member, new
-        wanted = np.unique(member)
-        rows = [_row(b, STATE, **state), _row(b, MEMBERS, ids=ids, new=fresh)]
-        return _table(rows + _deal(WANTED, _home(wanted, blocks), ids=wanted, by=np.full(len(wanted), b)))
+        got, b = _read(table), _here(table)
+        new, old = _both_ways(got, 2 * picks, k)
+        good = (new >= 0).any(1)
+        new, old = new[good], old[good]
+        wanted = np.unique(np.concatenate([new.ravel(), old.ravel()]))
+        wanted = wanted[(wanted >= 0) & (wanted >> SHIFT != b)]
+        ask = _deal(WANTED, wanted, by=np.full(len(wanted), b))
+        return pa.concat_tables([_only(table, STATE), _table([_row(b, MEMBERS, new=new, old=old), *ask])])
 
     return run
 
 
-def _send(table: pa.Table) -> pa.Table:
-    """Vectors go to the blocks that asked for them; all else passes."""
-    got = _read(table)
-    keep = table.filter(pa.compute.is_in(table.column("kind"), pa.array([STATE, MEMBERS, VECTORS], pa.int32())))
-    rows = []
-    if WANTED in got:
-        own = got[VECTORS][0]
-        for w in got[WANTED]:
-            at = np.searchsorted(own["nodes"], w["ids"])
-            rows.append(_row(int(w["by"][0]), SENT, ids=w["ids"], x=own["x"][at]))
-    return pa.concat_tables([keep.select(NAMES), _table(rows)])
+def _send(longest: float) -> Callable:
+    """Vectors and the worst scores of their lists go to the blocks that asked."""
 
+    def run(table: pa.Table) -> pa.Table:
+        got, b = _read(table), _here(table)
+        rows = []
+        if WANTED in got:
+            own, worst = got[VECTORS][0]["raw"], got[STATE][0]["scores"][:, -1]
+            for w in got[WANTED]:
+                rows.append(_row(int(w["by"][0]), SENT, ids=w["at"] + np.int64(b << SHIFT), x=_lift(own[w["at"]], longest), worst=worst[w["at"]]))
+        return pa.concat_tables([_only(table, STATE, MEMBERS), _table(rows)])
+
+    return run
 
-def _compare(top: int, blocks: int) -> Callable:
-    """Members of a list compared with each other, pairs with a new edge; the nearest of each go home."""
+
+def _first(k: int, held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of pairs of owner, other and score: the k best of each owner; no more can enter its list."""
+    owner, other, score = (np.concatenate(v) for v in zip(*held, strict=True))
+    by = np.lexsort((other, owner))
+    by = by[np.append(True, (np.diff(owner[by]) != 0) | (np.diff(other[by]) != 0))[: len(by)]]
+    by = by[np.lexsort((other[by], -score[by], owner[by]))]
+    by = by[_rank(owner[by]) < k]
+    return owner[by], other[by], score[by]
+
+
+def _compare(k: int, longest: float) -> Callable:
+    """Members of a list compared with each other, pairs with a new edge; what improves a list goes to its block."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = _read(table)
-        keep = table.filter(pa.compute.is_in(table.column("kind"), pa.array([STATE, VECTORS], pa.int32()))).select(NAMES)
-        if SENT not in got:
-            return keep
-        ids, x = _joined(got[SENT], "ids", "x")
+        got, b = _read(table), _here(table)
+        lists, own = got[MEMBERS][0], got[VECTORS][0]["raw"]
+        local = np.arange(len(own)) + np.int64(b << SHIFT)
+        ids, x, worst = (np.concatenate(v) for v in zip((local, _lift(own, longest), got[STATE][0]["scores"][:, -1]), *([s["ids"], s["x"], s["worst"]] for s in got.get(SENT, [])), strict=True))
         by = np.argsort(ids)
-        ids, x = ids[by], x[by]
-        lists = got[MEMBERS][0]
-        owner, other, score = [], [], []
-        for at in range(0, len(lists["ids"]), 64):
-            m, new = lists["ids"][at : at + 64], lists["new"][at : at + 64]
-            wide = int((m >= 0).sum(1).max())
-            if wide < 2:
-                continue
-            m, new = m[:, :wide], new[:, :wide]
-            y = x[np.minimum(np.searchsorted(ids, m), len(ids) - 1)]
-            near = y @ y.transpose(0, 2, 1)
-            off = (m < 0)[:, None, :] | (m < 0)[:, :, None] | ~(new[:, None, :] | new[:, :, None])
-            off |= np.eye(wide, dtype=bool)
-            near[off] = -np.inf
-            n = min(top, wide - 1)
-            best = np.argpartition(-near, n - 1, axis=2)[:, :, :n]
-            s = np.take_along_axis(near, best, 2)
-            good = np.isfinite(s)
-            owner.append(np.broadcast_to(m[:, :, None], s.shape)[good])
-            other.append(np.take_along_axis(np.broadcast_to(m[:, None, :], near.shape), best, 2)[good])
-            score.append(s[good])
-        if not owner:
-            return keep
-        owner, other, score = np.concatenate(owner), np.concatenate(other), np.concatenate(score)
-        by = np.lexsort((other, owner))
-        by = by[np.append(True, (np.diff(owner[by]) != 0) | (np.diff(other[by]) != 0))]
-        owner, other, score = owner[by], other[by], score[by]
-        return pa.concat_tables([keep, _table(_deal(FOUND, _home(owner, blocks), owner=owner, other=other, score=score))])
+        ids, x, worst = ids[by], x[by], worst[by]
+        n_new = lists["new"].shape[1]
+        held, count = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0
+        for a in range(0, len(lists["new"]), 128):
+            m = np.concatenate([lists["new"][a : a + 128], lists["old"][a : a + 128]], 1)
+            place = np.where(m >= 0, np.searchsorted(ids, np.maximum(m, ids[0])), 0)
+            y = x[place]
+            near = y[:, :n_new] @ y.transpose(0, 2, 1)  # new members by all members
+            pair = (m[:, :n_new, None] >= 0) & (m[:, None, :] >= 0) & (m[:, :n_new, None] != m[:, None, :])
+            at = np.nonzero(pair & (near > worst[place][:, :n_new, None]))
+            held.append((m[at[0], at[1]], m[at[0], at[2]], near[at]))
+            pair[:, :, :n_new] = False  # two new members have met both ways
+            at = np.nonzero(pair & (near > worst[place][:, None, :]))
+            held.append((m[at[0], at[2]], m[at[0], at[1]], near[at]))
+            count += len(held[-1][0]) + len(held[-2][0])
+            if count > 1 << 20:
+                held, count = [_first(k, held)], 0
+        owner, other, score = _first(k, held)
+        return pa.concat_tables([_only(table, STATE), _table(_deal(FOUND, owner, other=other, score=score))])
 
     return run
 
@@ -242,225 +329,260 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(number, lambda x: x != 0), F.lit(False))
 
 
+def _numbers(lists: pa.Array, rows: int, single: bool) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32 if single else np.float64).reshape(rows, -1)
+
+
 class Graph:
     """The nearest-neighbour graph of a table of vectors."""
 
-    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 48, rounds: int = 8, most: int = 21) -> None:
+    def __init__(self, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 40, picks: int = 20, rounds: int = 12) -> None:
         kind = vectors.schema[vector].dataType.elementType.simpleString()
+        single = kind == "float"
         rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("raw")).filter(usable(F.col("raw")) & F.col("id").isNotNull())
         wide = rows.agg(F.max(F.size("raw"))).first()[0] or 1
-        rows = rows.filter(F.size("raw") == wide).withColumn("raw", F.transform("raw", lambda x: (x + F.lit(0).cast(kind)).cast(kind)))
-        self.rows, self.k = rows, k
-        nth = F.row_number().over(Window.partitionBy("raw").orderBy("id"))
-        first = rows.withColumn("nth", nth).filter(F.col("nth") <= most)
-        self.nodes = cut(first.groupBy("raw").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids")))
+        number = "float" if single else "double"
+        rows = rows.filter(F.size("raw") == wide).withColumn("raw", F.transform("raw", lambda x: x.cast(number) + F.lit(0).cast(number)))
+        self.k, self.picks = k, picks
+        distinct = cut(rows.groupBy("raw").agg(F.min("id").alias("first")))
         length = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-        count, longest = self.nodes.agg(F.count(F.lit(1)), F.max(length)).first()
-        self.count, self.blocks = count, max(1, -(-count // BLOCK))
-        self._build(float(longest or 1.0), rounds)
-
-    def _build(self, longest: float, rounds: int) -> None:
-        blocks, k = self.blocks, self.k
-        bits = max(0, int(np.ceil(np.log2(max(self.count, 1) / LEAF))))
-        planes = np.random.default_rng(7).normal(size=(TREES, bits, 1))
-
-        def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Vectors with their added component, their blocks, and their groups in each tree."""
+        self.count, longest = distinct.agg(F.count(F.lit(1)), F.max(length)).first()
+        self.longest = float(longest or 1.0)
+        #: Every row and the smallest id of its vector.
+        self.rows = rows.join(distinct, "raw").select("id", "first")
+        self._place(distinct, single, max(512, min(BLOCK, BLOCK * 64 // wide)))
+        self._build(rounds)
+
+    def _place(self, distinct: DataFrame, single: bool, block: int) -> None:
+        """Nodes are cut into blocks, and into the leaves of the second tree."""
+        longest, depth = self.longest, max(0, int(np.ceil(np.log2(max(self.count, 1) / block))))
+        trees = []
+        if depth:
+            share = min(1.0, SAMPLE / self.count)
+            some = distinct.filter(F.pmod(F.xxhash64("first"), F.lit(1 << 30)) < int(share * (1 << 30))).select("raw").toArrow()
+            x = _lift(_numbers(some.column("raw").combine_chunks(), some.num_rows, single), longest)
+            trees = [Tree(x[np.lexsort(x.T[:2])], depth, seed) for seed in (7, 11)]
+
+        def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                lists = batch.column(1)
-                x = lists.flatten().cast(pa.float64()).to_numpy().reshape(batch.num_rows, -1)
-                added = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-                whole = (np.concatenate([x, added[:, None]], 1) / np.sqrt(longest)).astype(np.float32)
-                sides = np.random.default_rng(11).normal(size=(x.shape[1], planes.shape[0] * planes.shape[1]))
-                signs = (x @ sides > 0).reshape(batch.num_rows, planes.shape[0], planes.shape[1])
-                codes = (signs * (1 << np.arange(planes.shape[1]))).sum(2) if planes.shape[1] else np.zeros((batch.num_rows, planes.shape[0]), np.int64)
-                ids = batch.column(0).to_numpy()
-                code_lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * planes.shape[0]), pa.array(codes.ravel().astype(np.int64)))
-                yield pa.record_batch([pa.array(ids), pa.array([r.tobytes() for r in whole], pa.binary()), pa.array(_home(ids, blocks)), code_lists], ["node", "vec", "b", "codes"])
-
-        made = cut(self.nodes.select("node", "raw").mapInArrow(prepare, "node long, vec binary, b long, codes array<long>"))
+                for at in range(0, batch.num_rows, 4096):
+                    piece = batch.slice(at, 4096)
+                    x = _lift(_numbers(piece.column(1), piece.num_rows, single), longest)
+                    found = [pa.array(t.codes(x)) for t in trees] or [pa.array(np.zeros(piece.num_rows, np.int64))] * 2
+                    yield pa.record_batch([piece.column(0), piece.column(1), *found], ["first", "raw", "c0", "c1"])
+
+        kind = "float" if single else "double"
+        made = cut(distinct.select("first", "raw").mapInArrow(codes, f"first long, raw array<{kind}>, c0 long, c1 long"))
+        for c in ("c0", "c1"):  # a leaf that is too large is cut by hash
+            parts = made.groupBy(c).agg(F.ceil(F.count(F.lit(1)) / F.lit(1.5 * block)).alias("parts"))
+            part = F.pmod(F.xxhash64("first", F.lit(c)), F.col("parts"))
+            made = made.join(parts, c).withColumn(c, F.shiftleft(F.col(c), 16) + part).drop("parts")
 
         def pack(table: pa.Table) -> pa.Table:
-            ids = table.column("node").to_numpy()
-            by = np.argsort(ids)
-            return _table([_row(int(table.column("b")[0].as_py()), VECTORS, nodes=ids[by], x=_matrix(table.column("vec"))[by])])
-
-        vectors = cut(made.groupBy("b").applyInArrow(pack, SCHEMA))
-        trees = made.select("node", "vec", F.posexplode("codes").alias("tree", "code"))
-        sizes = trees.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("n"))
-        leaves = trees.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / F.lit(2 * LEAF))))
-        found = leaves.groupBy("tree", "code", "part").applyInArrow(_nearest_in_leaf(k, blocks), SCHEMA)
-        now = cut(found.unionByName(vectors).groupBy("b").applyInArrow(_update(k, blocks), SCHEMA))
-        changed = F.udf(_changed, "long")
-        for _ in range(rounds):
-            met = now.groupBy("b").applyInArrow(_members(2 * k, blocks), SCHEMA)
-            sent = met.unionByName(vectors).groupBy("b").applyInArrow(_send, SCHEMA)
-            compared = sent.groupBy("b").applyInArrow(_compare(12, blocks), SCHEMA)
-            now = cut(compared.groupBy("b").applyInArrow(_update(k, blocks), SCHEMA))
+            table = table.combine_chunks()
+            by = np.argsort(table.column("first").to_numpy())
+            raw = _numbers(table.column("raw").chunk(0), table.num_rows, single)
+            return _table([_row(int(table.column("c0")[0].as_py()), VECTORS, table.num_rows, raw=raw[by], first=table.column("first").to_numpy()[by], leaf=table.column("c1").to_numpy()[by])])
+
+        self.vectors = cut(made.groupBy("c0").applyInArrow(pack, SCHEMA))
+        self.depth = depth
+
+    def _build(self, rounds: int) -> None:
+        k, picks, longest, vectors = self.k, self.picks, self.longest, self.vectors
+
+        def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b, data in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                    own = pickle.loads(data.as_py())
+                    x = _lift(own["raw"], longest)
+                    node = np.arange(len(x)) + np.int64(b << SHIFT)
+                    yield pa.record_batch([pa.array(own["leaf"]), pa.array(node), pa.array([r.tobytes() for r in x], pa.binary())], ["leaf", "node", "vec"])
+
+        start = vectors
+        if self.depth:
+            start = vectors.unionByName(vectors.mapInArrow(leaves, "leaf long, node long, vec binary").groupBy("leaf").applyInArrow(_leaf(k), SCHEMA))
+        now = cut(start.groupBy("b").applyInArrow(_update(k, picks, longest), SCHEMA))
+        for _ in range(rounds if self.depth else 1):
+            met = now.groupBy("b").applyInArrow(_members(k, picks), SCHEMA)
+            sent = met.unionByName(vectors).groupBy("b").applyInArrow(_send(longest), SCHEMA)
+            compared = sent.unionByName(vectors).groupBy("b").applyInArrow(_compare(k, longest), SCHEMA)
+            now = cut(compared.unionByName(vectors).groupBy("b").applyInArrow(_update(k, picks, longest), SCHEMA))
             del met, sent, compared
             sweep(now.sparkSession)
-            fresh = now.filter(F.col("kind") == STATE).agg(F.sum(changed("data"))).first()[0] or 0
+            fresh = now.filter(F.col("kind") == STATE).agg(F.sum("n")).first()[0] or 0
             if fresh < 0.01 * k * self.count:
                 break
-        self.edges, self.vectors = now, vectors
+        #: Lists to walk: edges in both directions.
+        self.lists = cut(now.groupBy("b").applyInArrow(_walkable(k), SCHEMA))
 
-    def search(self, queries: DataFrame, top: int = 20, beam: int = 96, visits: int = 48, rounds: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, top: int = 20, beam: int = 160, visits: int = 64, rounds: int | None = None) -> DataFrame:
         """query_id, rank, vec_id and score of the ids in ``queries`` (column query_id) that name rows of the table.
 
         Without ``rounds`` search goes on until the beams hold no node that is not visited.
         """
-        blocks, rows = self.blocks, self.rows
-        asked = queries.select(F.col("query_id").cast("long").alias("id")).distinct().join(rows, "id")
-        asked = cut(asked.withColumnRenamed("id", "query_id").join(self.nodes.select("raw", "node"), "raw").select("query_id", "node"))
-        starts = asked.select("node").distinct().mapInArrow(_starts(blocks), SCHEMA)
-        # each node keeps its neighbours in both directions, and their vectors
-        wanted = self.edges.groupBy("b").applyInArrow(_members(2 * self.k, blocks), SCHEMA)
-        sent = wanted.unionByName(self.vectors).groupBy("b").applyInArrow(_send, SCHEMA)
-        tables = cut(sent.filter(F.col("kind").isin(STATE, MEMBERS, SENT, VECTORS)))
-        beams = cut(starts.unionByName(tables).groupBy("b").applyInArrow(_open(beam, visits, blocks), SCHEMA))
-        del wanted, sent
+        beam = max(beam, 2 * (top + 1))
+        vectors, lists = self.vectors, self.lists
+        asked = cut(queries.select(F.col("query_id").cast("long").alias("id")).distinct().join(self.rows, "id").withColumnRenamed("id", "query_id"))
+        nodes = vectors.mapInArrow(_firsts, "first long, b long, place int")
+        starts = asked.select("first").distinct().join(nodes, "first").groupBy("b").agg(F.collect_list("place").alias("places"))
+        opened = starts.select("b", "places").mapInArrow(_open, SCHEMA)
+        found = cut(opened.unionByName(lists).groupBy("b").applyInArrow(_begin(beam, self.count <= beam), SCHEMA))
+        met = found.unionByName(vectors).groupBy("b").applyInArrow(_attach, SCHEMA)
         done = 0
-        while done != rounds and not beams.filter(F.col("kind") == ASK).isEmpty():
-            done += 1
-            seen = beams.unionByName(tables.filter(F.col("kind") != VECTORS)).groupBy("b").applyInArrow(_visit(beam, blocks), SCHEMA)
-            beams = cut(seen.groupBy("b").applyInArrow(_keep(beam, 0 if done == rounds else visits, blocks), SCHEMA))
-            del seen
+        while True:
+            scored = met.unionByName(vectors).groupBy("b").applyInArrow(_score, SCHEMA)
+            last = done == rounds
+            beams = cut(scored.unionByName(vectors).groupBy("b").applyInArrow(_keep(beam, 0 if last else visits), SCHEMA))
+            del scored, met
             sweep(beams.sparkSession)
-        near = beams.filter(F.col("kind") == FOUND).mapInArrow(_answers, "node long, other long")
-        own = asked.select("node").distinct().select("node", F.col("node").alias("other"))
-        pairs = near.unionByName(own).distinct()
-        a = self.nodes.select(F.col("node"), F.col("raw").alias("q"))
-        c = self.nodes.select(F.col("node").alias("other"), F.col("raw").alias("x"), "ids")
-        dot = F.aggregate(F.zip_with("q", "x", lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda t, u: t + u)
-        scored = pairs.join(a, "node").join(c, "other").select("node", "ids", dot.alias("score"))
-        order = Window.partitionBy("node").orderBy(F.desc("score"), F.col("vec_id"))
-        listed = scored.select("node", F.explode("ids").alias("vec_id"), "score").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top + 1)
-        answers = listed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found"))
-        each = asked.join(answers, "node").withColumn("found", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, top))
+            if last or beams.filter(F.col("kind") == VISIT).isEmpty():
+                break
+            done += 1
+            met = beams.unionByName(lists).groupBy("b").applyInArrow(_visit, SCHEMA)
+        near = beams.filter(F.col("kind") == QUERY).mapInArrow(_answers(top + 1), "q long, first long, score double")
+        nth = F.row_number().over(Window.partitionBy("first").orderBy("id"))
+        copies = self.rows.withColumn("nth", nth).filter(F.col("nth") <= top + 1).select("first", F.col("id").alias("vec_id"))
+        order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id"))
+        listed = near.join(copies, "first").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top + 1)
+        answers = listed.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found"))
+        each = asked.join(answers, F.col("first") == F.col("q")).withColumn("found", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, top))
         return each.select("query_id", F.posexplode("found").alias("rank", "f")).select("query_id", (F.col("rank") + 1).alias("rank"), "f.vec_id", "f.score")
 
 
-def _changed(data: bytes) -> int:
-    return int(pickle.loads(data)["new"].sum())
+# search
 
 
-def _starts(blocks: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            yield from _table(_deal(ASK, _home(ids, blocks), query=ids)).to_batches()
+def _walkable(k: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        got = _read(table)
+        state = got[STATE][0]
+        state["flag"] = np.zeros_like(state["flag"])
+        for r in got.get(REVERSE, []):
+            r["flag"] = np.zeros_like(r["flag"])
+        return _table([_row(_here(table), MEMBERS, ids=_both_ways(got, 1, 2 * k)[1])])
 
     return run
 
 
-def _frontier(query: np.ndarray, x: np.ndarray, ids: np.ndarray, scores: np.ndarray, done: np.ndarray, visits: int, blocks: int) -> list[tuple[int, int, bytes]]:
-    """Marks the nearest nodes not visited as visited, and sends the queries to their blocks."""
-    open_scores = np.where(done | (ids < 0), -np.inf, scores)
-    n = min(visits, ids.shape[1])
-    if n == 0:
-        return []
-    pick = np.argpartition(-open_scores, n - 1, axis=1)[:, :n]
-    row = np.repeat(np.arange(len(ids)), n)
-    good = np.isfinite(open_scores[row, pick.ravel()])
-    row, pick = row[good], pick.ravel()[good]
-    done[row, pick] = True
-    node = ids[row, pick]
-    home = _home(node, blocks)
-    rows = []
-    for b in np.unique(home):
-        mine = home == b
-        who, at = np.unique(row[mine], return_inverse=True)
-        rows.append(_row(int(b), ASK, query=query[who], x=x[who], least=scores[who].min(1), at=at, node=node[mine]))
-    return rows
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b, data in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            first = pickle.loads(data.as_py())["first"]
+            yield pa.record_batch([pa.array(first), pa.array(np.full(len(first), b)), pa.array(np.arange(len(first), dtype=np.int32))], ["first", "b", "place"])
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [_row(b, QUERY, query=np.sort(np.array(places, np.int64))) for b, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield from _table(rows).to_batches()
 
 
-def _open(beam: int, visits: int, blocks: int) -> Callable:
-    """A query begins with the list of its own node."""
+def _begin(beam: int, all_of_them: bool) -> Callable:
+    """A query begins with the list of its own node, or with all nodes if they are few, and with itself."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = _read(table)
-        if ASK not in got:
+        got, b = _read(table), _here(table)
+        if QUERY not in got:
             return _table([])
-        query = np.unique(_joined(got[ASK], "query")[0])
-        state, own = got[STATE][0], got[VECTORS][0]
-        at = np.searchsorted(state["nodes"], query)
-        ids, scores = state["ids"][at][:, :beam].copy(), state["scores"][at][:, :beam].copy()
-        x = own["x"][np.searchsorted(own["nodes"], query)].copy()
-        x[:, -1] = 0  # from here on nearness is the inner product alone
-        near, where = _joined(got[SENT], "x", "ids")
-        by = np.argsort(where)
-        near, where = near[by], where[by]
-        done = ids < 0
-        scores = np.einsum("ij,ikj->ik", x, near[np.minimum(np.searchsorted(where, ids), len(where) - 1)]) if len(where) else scores
-        scores[done] = -np.inf
-        room = max(0, beam - ids.shape[1])  # what is found fills the rest of the beam
-        ids, scores, done = (np.pad(v, ((0, 0), (0, room)), constant_values=c) for v, c in ((ids, -1), (scores, -np.inf), (done, True)))
-        b = int(table.column("b")[0].as_py())
-        ask = _frontier(query, x, ids, scores, done, visits, blocks)
-        return _table([_row(b, FOUND, query=query, x=x, ids=ids, scores=scores, done=done), *ask])
+        query, lists = got[QUERY][0]["query"], got[MEMBERS][0]["ids"]
+        start = np.broadcast_to(np.arange(len(lists)) + np.int64(b << SHIFT), (len(query), len(lists))) if all_of_them else np.concatenate([lists[query], query[:, None] + np.int64(b << SHIFT)], 1)
+        shape = (len(query), beam)
+        none = {"ids": np.full(shape, -1, np.int64), "scores": np.full(shape, -np.inf), "firsts": np.full(shape, -1, np.int64), "done": np.zeros(shape, bool)}
+        row, _ = np.nonzero(start >= 0)
+        return _table([_row(b, QUERY, query=query, start=start[start >= 0], row=row, **none)])
 
     return run
 
 
-def _visit(beam: int, blocks: int) -> Callable:
-    """In a block: the queries that visit its nodes meet the lists of these nodes."""
+def _ask(kind: int, row: np.ndarray, node: np.ndarray, query: np.ndarray, x: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """For each block of ``node``: the queries that ask there, with their vectors, and which node each asks for."""
+    home = node >> SHIFT
+    by = np.argsort(home, kind="stable")
+    row, node, home = row[by], node[by], home[by]
+    out = []
+    for a, e in _starts(home):
+        who, at = np.unique(row[a:e], return_inverse=True)
+        out.append(_row(int(home[a]), kind, query=query[who], x=x[who], least=least[who], row=at.astype(np.int32), place=(node[a:e] & ((1 << SHIFT) - 1)).astype(np.int32)))
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        got = _read(table)
-        rows = [_row(int(table.column("b")[0].as_py()), FOUND, **f) for f in got.get(FOUND, [])]
-        if ASK not in got or STATE not in got or SENT not in got:
-            return _table(rows)
-        nodes, members = got[STATE][0]["nodes"], got[MEMBERS][0]["ids"]
-        ids, x = _joined(got[SENT], "ids", "x")
-        by = np.argsort(ids)
-        ids, x = ids[by], x[by]
-        for ask in got[ASK]:
-            lists = members[np.searchsorted(nodes, ask["node"])]
-            row, member = np.repeat(ask["at"], lists.shape[1]), lists.ravel()
-            keep = member >= 0
-            pair = np.unique(np.stack([row[keep], member[keep]]), axis=1)
-            row, member = pair[0], pair[1]
-            near = np.empty(len(row), np.float32)
-            for at in range(0, len(row), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                near[part] = np.einsum("ij,ij->i", ask["x"][row[part]], x[np.searchsorted(ids, member[part])])
-            good = (near >= ask["least"][row]) & (member != ask["query"][row])
-            query = ask["query"][row[good]]
-            rows += _deal(REVERSE, _home(query, blocks), query=query, member=member[good], score=near[good])
-        return _table(rows)
 
-    return run
+def _attach(table: pa.Table) -> pa.Table:
+    """The first candidates of the queries, with the queries' vectors, go where they are scored."""
+    got, b = _read(table), _here(table)
+    if QUERY not in got:
+        return _table([])
+    mine = got[QUERY][0]
+    start, row = mine.pop("start"), mine.pop("row")
+    x, mine["name"] = got[VECTORS][0]["raw"][mine["query"]], got[VECTORS][0]["first"][mine["query"]]
+    asks = _ask(SCORE, row, start, mine["query"] + np.int64(b << SHIFT), x, mine["scores"][:, -1])
+    return _table([_row(b, QUERY, **mine), *asks])
 
 
-def _keep(beam: int, visits: int, blocks: int) -> Callable:
-    """What was found joins the beam; the nearest stay and the next visits are chosen."""
+def _score(table: pa.Table) -> pa.Table:
+    """Inner products in double precision, component by component; those that reach the beam go to the queries."""
+    got = _read(table)
+    rows = []
+    if SCORE in got:
+        own, first, b = got[VECTORS][0]["raw"], got[VECTORS][0]["first"], _here(table)
+        columns = np.ascontiguousarray(own.T, np.float64)
+        for ask in got[SCORE]:
+            asking = np.ascontiguousarray(ask["x"].T, np.float64)
+            score = np.empty(len(ask["row"]))
+            for a in range(0, len(score), 8192):
+                part = slice(a, a + 8192)
+                score[part] = (asking[:, ask["row"][part]] * columns[:, ask["place"][part]]).sum(0)
+            good = score >= ask["least"][ask["row"]]
+            place = ask["place"][good]
+            rows += _deal(FOUND, ask["query"][ask["row"][good]], other=place + np.int64(b << SHIFT), first=first[place], score=score[good])
+    return pa.concat_tables([_only(table, QUERY), _table(rows)])
+
+
+def _keep(beam: int, visits: int) -> Callable:
+    """What was found joins the beams; the nearest stay and the next visits are chosen."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = _read(table)
-        if FOUND not in got:
+        got, b = _read(table), _here(table)
+        if QUERY not in got:
             return _table([])
-        old = got[FOUND][0]
+        old = got[QUERY][0]
         query, has = old["query"], old["ids"] >= 0
-        owner, other, score, open_ = [np.repeat(query, has.sum(1))], [old["ids"][has]], [old["scores"][has]], [~old["done"][has]]
-        for f in got.get(REVERSE, []):
-            owner.append(f["query"])
-            other.append(f["member"])
-            score.append(f["score"])
-            open_.append(np.ones(len(f["query"]), bool))
-        best = _best(*(np.concatenate(v) for v in (owner, other, score, open_)), query, beam)
-        done = ~best["new"]
-        b = int(table.column("b")[0].as_py())
-        ask = _frontier(query, old["x"], best["ids"], best["scores"], done, visits, blocks)
-        return _table([_row(b, FOUND, query=query, x=old["x"], ids=best["ids"], scores=best["scores"], done=done), *ask])
+        parts = [[np.repeat(np.arange(len(query)), has.sum(1)), old["ids"][has], old["scores"][has], (~old["done"][has]).astype(np.int8), old["firsts"][has]]]
+        parts += [[np.searchsorted(query, f["at"]), f["other"], f["score"], np.ones(len(f["at"]), np.int8), f["first"]] for f in got.get(FOUND, [])]
+        at, other, score, open_, first = (np.concatenate(v) for v in zip(*parts, strict=True))
+        ids, scores, open_, firsts = _best(at, other, score, open_, len(query), beam, first)
+        todo = (open_ > 0) & (ids >= 0)
+        todo &= np.cumsum(todo, 1) <= visits
+        done = (open_ == 0) | todo
+        row, _ = np.nonzero(todo)
+        asks = _ask(VISIT, row, ids[todo], query + np.int64(b << SHIFT), got[VECTORS][0]["raw"][query], scores[:, -1])
+        return _table([_row(b, QUERY, query=query, name=old["name"], ids=ids, scores=scores, firsts=firsts, done=done), *asks])
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data in batch.column(2):
-            found = pickle.loads(data.as_py())
-            has = found["ids"] >= 0
-            yield pa.record_batch([pa.array(np.repeat(found["query"], has.sum(1))), pa.array(found["ids"][has])], ["node", "other"])
+def _visit(table: pa.Table) -> pa.Table:
+    """The members of the lists of the visited nodes are asked for."""
+    got = _read(table)
+    rows = []
+    if VISIT in got:
+        lists = got[MEMBERS][0]["ids"]
+        for ask in got[VISIT]:
+            met = lists[ask["place"]]
+            row, member = np.repeat(ask["row"], met.shape[1])[met.ravel() >= 0], met[met >= 0]
+            by = np.lexsort((member, row))
+            by = by[np.append(True, (np.diff(row[by]) != 0) | (np.diff(member[by]) != 0))[: len(by)]]
+            rows += _ask(SCORE, row[by], member[by], ask["query"], ask["x"], ask["least"])
+    return pa.concat_tables([_only(table, QUERY), _table(rows)])
+
+
+def _answers(most: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(3):
+                found = pickle.loads(data.as_py())
+                by = np.lexsort((found["firsts"], -found["scores"]))[:, :most]
+                firsts, scores = (np.take_along_axis(found[x], by, 1) for x in ("firsts", "scores"))
+                has = firsts >= 0
+                yield pa.record_batch([pa.array(np.repeat(found["name"], has.sum(1))), pa.array(firsts[has]), pa.array(scores[has])], ["q", "first", "score"])
+
+    return run

@@ -100,6 +100,29 @@ def test_many_copies_of_a_vector(spark):
     assert [r.vec_id for r in got if r.query_id == 5] == [k for k in range(21) if k != 5]
 
 
+def _found(table, spark, query, top=20):
+    got = neighbours.Graph(table).search(spark.createDataFrame([(query,)], "query_id long"), top=top).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+    return [r.vec_id for r in got]
+
+
+def test_one_vector(spark):
+    table = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert _found(table, spark, 5) == []
+
+
+def test_all_copies_of_one_vector(spark):
+    table = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    assert _found(table, spark, 150) == list(range(20))
+    assert _found(table, spark, 7, top=50) == [k for k in range(51) if k != 7]
+    assert _found(table, spark, 7, top=500) == [k for k in range(200) if k != 7]
+
+
+def test_more_answers_than_are_usual(spark):
+    table = spark.range(202).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 200, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.5), F.col("id") / 400)).alias("embedding"))
+    assert _found(table, spark, 200, top=60) == [201, *range(59)]
+
+
 def test_language(messy, none):
     docs = messy.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").when(F.col("doc_id") == 3, "de"))
     got = {r.doc_id: r for r in language_id.identify(docs, language_id.learn(docs)).collect()}

@@ -333,12 +333,13 @@ def test_base_score(spark, texts, small):
 # neighbours
 
 
-def test_recall_and_search(spark):
-    """The graph with search against brute force, and search mending a poor graph."""
+def test_recall_and_search(spark, monkeypatch):
+    """The graph of many blocks with search against brute force, and search mending a poor graph."""
     from pyspark.sql import functions as F
 
     from basalt.llm import neighbours
 
+    monkeypatch.setattr(neighbours, "BLOCK", 512)  # wider vectors make no smaller ones
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ids = np.array([r.vec_id for r in vectors.select("vec_id").orderBy("vec_id").collect()])
     x = np.stack([np.array(r.embedding, float) for r in vectors.orderBy("vec_id").collect()])
@@ -357,6 +358,7 @@ def test_recall_and_search(spark):
 
     assert recall(neighbours.Graph(vectors).search(queries)) >= 0.97
     poor = neighbours.Graph(vectors, k=10, rounds=1)
+    assert poor.depth == 2 and poor.vectors.count() >= 4
     few, many = (recall(poor.search(queries, beam=60, visits=20, rounds=r)) for r in (1, 4))
     assert many > few + 0.1
 
