@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +17,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is missing, as in tests, a folder of this process is used.
+    Only a local session, as in tests, gets a folder of this machine where the setting is missing.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "basalt-checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "basalt-checkpoints"))
+    return str(sc.getCheckpointDir())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a compressed table in the shared folder, which goes at the end of the block."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    try:
+        yield spark.read.schema(df.schema).parquet(where)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -330,6 +330,49 @@ def test_base_score(spark, texts, small):
     assert pa.array([r.score for r in got.values()]).null_count == 0
 
 
+# exact deduplication
+
+
+def _parts(spark, texts):
+    from basalt.llm import exact_dedup
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    return [r.parts for r in exact_dedup.chunks(rows, "t").orderBy("k").collect()]
+
+
+def test_chunks_join_to_the_text(spark):
+    r = np.random.default_rng(2)
+    texts = ["", " ", "\x01", "a\x01\x02b \x01\x03", "x" * 30000, "\n".join(["la la la"] * 4000), " ".join("".join(map(chr, r.integers(0x4E00, 0x4F00, 7))) for _ in range(9000))]
+    for text, parts in zip(texts, _parts(spark, texts)):
+        assert "".join(parts) == text and all(0 < len(p) <= 8192 for p in parts)
+
+
+def test_an_insertion_keeps_the_other_chunks(spark):
+    r = np.random.default_rng(3)
+    words = ["".join(map(chr, r.integers(97, 123, r.integers(2, 9)))) for _ in range(900)]
+    text = " ".join(words[k] for k in r.integers(0, 900, 30000))
+    texts = [text, "z" * 50 + " " + text, text[:333] + "333 new" + text[333:], text[:70000] + " Q" * 40 + text[70000:], text[90000:] + text[:90000]]
+    whole, *others = _parts(spark, texts)
+    assert 500 < np.mean([len(p) for p in whole]) < 1500
+    for parts in others:
+        assert len(set(whole) & set(parts)) >= 0.9 * len(set(whole))
+
+
+@pytest.mark.parametrize("values", [1, 3])
+def test_colliding_identifiers(spark, monkeypatch, values):
+    """Equal identifiers of unequal chunks don't make texts equal, with ids missing or not."""
+    from pyspark.sql import functions as F
+
+    from basalt.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "identifier", lambda part: F.pmod(F.xxhash64(part), F.lit(values)))
+    rows = [(1, "one"), (2, "two"), (3, "ONE"), (None, "one"), (None, "two"), (4, None), (5, ""), (6, "three")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.keep_id, r.group_size, r.kept) for r in got) == [
+        (0, 2, 2, False), (0, 3, 3, False), (1, 3, 3, False), (2, 2, 2, True), (3, 3, 3, True), (4, 5, 2, False), (5, 5, 2, True), (6, 6, 1, True),
+    ]
+
+
 # neighbours
 
 
