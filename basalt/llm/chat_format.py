@@ -2,7 +2,8 @@
 
 Records come in many layouts (prompt and response, instruction and input, lists of
 messages, one row for each turn). The fingerprint of a record is the SHA-256 of its nested
-field paths, without types and values. A registry maps fingerprints to declarative
+field paths, without types and values; all records of a table with columns of their own have
+that of the table's schema, and a column of JSON gives each record its own. A registry maps fingerprints to declarative
 mappings, each of which turns its layout into canonical turns: (conversation, turn, role,
 text). Canonical turns are then written with a template that marks turns, escapes its own
 control characters in texts reversibly, and reports the loss mask (what the assistant
@@ -19,6 +20,7 @@ and is listed by ``unknown_layouts``; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +37,8 @@ class Mapping:
     ``sample`` is a record of the layout, its leaves of no meaning. ``items`` is the path of
     a list of messages with fields ``role`` and ``text``; without it, ``fields`` lists
     (role, paths): the texts at the paths, joined by a line feed, are one turn. ``roles``
-    renames roles.
+    renames roles. With ``row``, a record is one turn itself: the paths of its conversation,
+    number, role and text.
     """
 
     name: str
@@ -45,11 +48,13 @@ class Mapping:
     text: str = "content"
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    row: tuple[str, str, str, str] | None = None
 
 
 SHAREGPT = (("human", "user"), ("gpt", "assistant"))
 REGISTRY = (
-    Mapping("turn rows", {"conv_id": 0, "turn": 0, "role": "", "text": ""}),
+    Mapping("turn rows", {"conv_id": 0, "turn": 0, "role": "", "text": ""}, row=("conv_id", "turn", "role", "text")),
+    Mapping("numbered contents", {"conversation_id": 0, "turn_index": 0, "role": "", "content": ""}, row=("conversation_id", "turn_index", "role", "content")),
     Mapping("messages", {"messages": [{"role": "", "content": ""}]}, items="messages"),
     Mapping("bare messages", [{"role": "", "content": ""}], items=""),
     Mapping("from and value", {"conversations": [{"from": "", "value": ""}]}, items="conversations", role="from", text="value", roles=SHAREGPT),
@@ -75,15 +80,18 @@ def layout_hash(sample: object) -> str:
     return hashlib.sha256(_skeleton(sample).encode()).hexdigest()
 
 
-def schema_hash(schema: T.StructType) -> str:
-    """The fingerprint of a table's own columns."""
-
+def _skeleton_of(schema: T.StructType) -> str:
     def sample(kind: T.DataType) -> object:
         if isinstance(kind, T.StructType):
             return {f.name: sample(f.dataType) for f in kind.fields}
         return [sample(kind.elementType)] if isinstance(kind, T.ArrayType) else ""
 
-    return layout_hash(sample(schema))
+    return _skeleton(sample(schema))
+
+
+def schema_hash(schema: T.StructType) -> str:
+    """The fingerprint of a table's own columns."""
+    return hashlib.sha256(_skeleton_of(schema).encode()).hexdigest()
 
 
 def record_hash(variant: Column) -> Column:
@@ -93,48 +101,67 @@ def record_hash(variant: Column) -> Column:
     return F.sha2(bare, 256)
 
 
-def _turns(mapping: Mapping, variant: Column) -> Column:
+def _turns(mapping: Mapping, text_at: Callable[[str], Column], list_at: Callable[[str, str, str], Column]) -> Column:
+    """The turns of a record, whose texts and lists of (role, text) two functions take from their paths."""
     if mapping.items is not None:
-        got = F.try_variant_get(variant, f"$.{mapping.items}" if mapping.items else "$", f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>")
-        renamed = dict(mapping.roles)
 
         def turn(m: Column) -> Column:
             role = m[mapping.role]
-            for old, new in renamed.items():
+            for old, new in mapping.roles:
                 role = F.when(m[mapping.role] == old, F.lit(new)).otherwise(role)
             return F.struct(role.alias("role"), m[mapping.text].alias("text"))
 
-        return F.transform(got, turn).cast(f"array<{TURN}>")
+        return F.transform(list_at(mapping.items, mapping.role, mapping.text), turn).cast(f"array<{TURN}>")
     made = []
     for role, paths in mapping.fields:
-        texts = [F.try_variant_get(variant, f"$.{p}", "string") for p in paths]
+        texts = [text_at(p) for p in paths]
         texts = [texts[0], *(F.when(t != "", t) for t in texts[1:])]
         made.append(F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *texts).alias("text")))
     return F.array(*made).cast(f"array<{TURN}>")
 
 
+def _in_json(mapping: Mapping, variant: Column) -> Column:
+    return _turns(
+        mapping, lambda path: F.try_variant_get(variant, f"$.{path}", "string"),
+        lambda path, role, text: F.try_variant_get(variant, f"$.{path}" if path else "$", f"array<struct<`{role}`:string,`{text}`:string>>"),
+    )
+
+
+def pick(schema: T.StructType, registry: tuple[Mapping, ...] = REGISTRY) -> Mapping | None:
+    """The mapping whose layout has the fingerprint of the table, or else of most of its columns."""
+    known = {layout_hash(m.sample): m for m in registry if isinstance(m.sample, dict)}
+    if (whole := known.get(schema_hash(schema))) is not None:
+        return whole
+    parts = [m for m in known.values() if known.get(schema_hash(T.StructType([f for f in schema.fields if f.name in m.sample]))) is m]
+    return max(parts, key=lambda m: len(m.sample), default=None)
+
+
 def _parsed(records: DataFrame, key: str, record: str) -> DataFrame:
     parsed = records.select(F.col(key).alias("conv_id"), F.try_parse_json(F.col(record)).alias("v"))
     return parsed.withColumn("layout", record_hash(F.col("v")))
 
 
 def canonical_turns(records: DataFrame, key: str = "conv_id", record: str = "record", registry: tuple[Mapping, ...] = REGISTRY) -> DataFrame:
-    """conv_id, turn, role, text from rows of turns or from a column of JSON records of mixed layouts.
+    """conv_id, turn, role, text from a table of a known layout or from a column of JSON records of mixed layouts.
 
-    A table whose own columns have the fingerprint of turn rows is taken as it is, as is
-    one that holds these columns among others.
+    The fingerprint of the table as read picks its mapping; columns that no layout names may
+    stand beside. Without one, ``record`` holds JSON and each record's fingerprint picks its
+    own; a table without that column raises ValueError. Layouts that aren't turns themselves
+    take the conversation from ``key``.
     """
-    rows = next(m for m in registry if m.name == "turn rows")
-    names = list(rows.sample)
-    have = T.StructType([f for f in records.schema.fields if f.name in names])
-    if schema_hash(have) == layout_hash(rows.sample):
-        return records.select(*names)
-    parsed = _parsed(records, key, record)
-    turns = F.lit(None).cast(f"array<{TURN}>")
-    for mapping in registry:
-        if mapping is not rows:
-            turns = F.when(F.col("layout") == layout_hash(mapping.sample), _turns(mapping, F.col("v"))).otherwise(turns)
-    laid = parsed.select("conv_id", F.posexplode(turns).alias("turn", "t"))
+    mapping = pick(records.schema, registry)
+    if mapping is not None and mapping.row:
+        return records.select(*(F.col(path).alias(name) for path, name in zip(mapping.row, ("conv_id", "turn", "role", "text"), strict=True)))
+    if mapping is not None:
+        laid = records.select(F.col(key).alias("conv_id"), F.posexplode(_turns(mapping, lambda path: F.col(path).cast("string"), lambda path, role, text: F.col(path))).alias("turn", "t"))
+    elif record in records.columns:
+        parsed, turns = _parsed(records, key, record), F.lit(None).cast(f"array<{TURN}>")
+        for m in registry:
+            if not m.row:
+                turns = F.when(F.col("layout") == layout_hash(m.sample), _in_json(m, F.col("v"))).otherwise(turns)
+        laid = parsed.select("conv_id", F.posexplode(turns).alias("turn", "t"))
+    else:
+        raise ValueError(f"no mapping has the layout {_skeleton_of(records.schema)}, and there is no column {record}")
     return laid.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 

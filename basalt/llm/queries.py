@@ -48,8 +48,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
     )
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    return _chat.digests(_chat.format_chat(_chat.canonical_turns(rows)))
+    turns = _chat.canonical_turns(read(spark, sf_dir, "conversations")).unionByName(_chat.canonical_turns(planted))
+    return _chat.digests(_chat.format_chat(turns))
 
 
 QUERIES["op3_chat_format"] = op3_chat_format

@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from basalt.llm import chat_format, lm_score, mixing, ngram_join, sentencepieces, suffix_dedup, toxicity
 from basalt.llm._graph import components
@@ -142,15 +143,36 @@ def test_unigram_viterbi():
 # chat
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a<b&"]), st.text("ab<>&;lt/turn\n\\#", max_size=30)), min_size=1, max_size=4))
-def test_template_is_reversible(turns):
-    esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
-    import re
-
-    whole = "".join(f"<turn>{esc(r)}<says>\n{esc(t)}</turn>\n" for r, t in turns)
-    back = [tuple(x.replace("&lt;", "<").replace("&amp;", "&") for x in m) for m in re.findall(chat_format.READ, whole)]
-    assert back == turns
+def test_template_is_reversible(spark):
+    """What format_chat writes gives back every role and text, and the loss mask the assistant's alone."""
+    r = np.random.default_rng(8)
+    bits = ["a", "<", "&", "&lt;", "&amp;", "</turn>\n", "<turn>user<says>\n", "\\", "#", "\n", ";lt", "é", "𝄞"]
+    turns = {c: [(str(r.choice(["user", "assistant", "a<b&", ""])), "".join(r.choice(bits, r.integers(0, 9)))) for _ in range(r.integers(1, 5))] for c in range(150)}
+    rows = [(c, k, role, text) for c, said in turns.items() for k, (role, text) in enumerate(said)]
+    made = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    roles, texts = chat_format.read_back(F.col("formatted"))
+    got = {x.conv_id: x for x in made.select("conv_id", roles.alias("roles"), texts.alias("texts"), "formatted", "loss_spans", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    unescape = lambda t: t.replace("&lt;", "<").replace("&amp;", "&")
+    for c, said in turns.items():
+        assert list(zip(got[c].roles, got[c].texts)) == said
+        learned = [t for role, t in said if role == "assistant"]
+        assert got[c].loss == "".join(learned)
+        assert [unescape(got[c].formatted[s.start : s.start + s.length]) for s in got[c].loss_spans] == learned
+
+
+def test_the_fingerprint_of_a_table_picks_its_mapping(spark):
+    turns = lambda df: [tuple(r) for r in chat_format.canonical_turns(df).orderBy("conv_id", "turn").collect()]
+    plain = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn int, role string, text string")
+    want = [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    assert chat_format.pick(plain.schema).name == "turn rows" and turns(plain) == want
+    assert turns(plain.withColumn("piece", F.lit(1)).withColumn("prompt", F.lit(2))) == want
+    assert turns(plain.toDF("conversation_id", "turn_index", "role", "content")) == want
+    lists = spark.createDataFrame([(1, [("human", "a"), ("gpt", "b")])], "conv_id long, conversations array<struct<`from`:string,value:string>>")
+    assert turns(lists) == want
+    pairs = spark.createDataFrame([(1, "a", "", "b")], "conv_id long, instruction string, input string, output string")
+    assert chat_format.pick(pairs.schema).name == "instruction and input" and turns(pairs) == want
+    with pytest.raises(ValueError, match="layout"):
+        chat_format.canonical_turns(plain.select("conv_id", "text"))
 
 
 def test_layouts(spark):
@@ -361,8 +383,6 @@ def test_an_insertion_keeps_the_other_chunks(spark):
 @pytest.mark.parametrize("values", [1, 3])
 def test_colliding_identifiers(spark, monkeypatch, values):
     """Equal identifiers of unequal chunks don't make texts equal, with ids missing or not."""
-    from pyspark.sql import functions as F
-
     from basalt.llm import exact_dedup
 
     monkeypatch.setattr(exact_dedup, "identifier", lambda part: F.pmod(F.xxhash64(part), F.lit(values)))
@@ -378,8 +398,6 @@ def test_colliding_identifiers(spark, monkeypatch, values):
 
 def test_recall_and_search(spark, monkeypatch):
     """The graph of many blocks with search against brute force, and search mending a poor graph."""
-    from pyspark.sql import functions as F
-
     from basalt.llm import neighbours
 
     monkeypatch.setattr(neighbours, "BLOCK", 512)  # wider vectors make no smaller ones
