@@ -23,8 +23,9 @@ text over ``PART`` bytes is cut, its parts overlapping by one byte less than ``l
 Nothing goes to the driver but one sum.
 
 Defined cases: null counts as empty; texts under ``length`` bytes lose nothing; rows that
-repeat an id stand for one document and get its result; a null id comes before all
-others; an empty table gives an empty result.
+repeat an id and its text stand for one document and get its result; different texts of one
+id, or without an id, are documents of their own, in the order of a hash of the text; a null
+id comes before all others; other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from basalt.llm._spark import cut, parallelism, pieces, short_batches, text_bytes, trim
 from basalt.llm._tokens import U, mix, powers
 
-SHARD, PART, GROUP, GRAM = 1 << 20, 4 << 20, 6 << 20, 32
+SHARD, PART, GROUP, BUCKET, GRAM = 1 << 20, 4 << 20, 6 << 20, 8 << 20, 32
 FLUSH = 600_000
 RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
@@ -294,7 +295,7 @@ def unpack(raw: bytes, kind: np.dtype) -> np.ndarray:
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _home(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -312,7 +313,7 @@ def _local(length: int, buckets: int, groups: int):
             ids = _ids(piece.column(0))
             data, offsets = text_bytes(piece.column(1))
             _, once = np.unique(ids, return_index=True)
-            doc, base, parts = [], [], []
+            doc, base, parts, held = [], [], [], 0
             for row in once:
                 for at in range(int(offsets[row]), int(offsets[row + 1]), PART):
                     end = min(at + PART + length - 1, int(offsets[row + 1]))
@@ -320,9 +321,10 @@ def _local(length: int, buckets: int, groups: int):
                         doc.append(ids[row])
                         base.append(at - offsets[row])
                         parts.append(data[at:end])
-                        if sum(map(len, parts)) >= PART:
+                        held += end - at
+                        if held >= PART:
                             yield Joined(np.array(doc, np.int64), np.array(base, np.int64), parts, length)
-                            doc, base, parts = [], [], []
+                            doc, base, parts, held = [], [], [], 0
             if parts:
                 yield Joined(np.array(doc, np.int64), np.array(base, np.int64), parts, length)
 
@@ -399,7 +401,7 @@ def _lookup(texts: pa.Table) -> dict[int, memoryview]:
     for batch in texts.to_batches():
         data, offsets = text_bytes(batch.column("text"))
         view = memoryview(data)
-        for k, doc in enumerate(_ids(batch.column("doc_id")).tolist()):
+        for k, doc in enumerate(_ids(batch.column("key")).tolist()):
             rows[doc] = view[offsets[k] : offsets[k + 1]]
     return rows
 
@@ -440,7 +442,7 @@ def _finish(kind: pa.DataType):
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
         for batch in texts.to_batches():
             data, offsets = text_bytes(batch.column("text"))
-            ids = _ids(batch.column("doc_id"))
+            ids = _ids(batch.column("key"))
             first, last = np.searchsorted(found["doc"], ids), np.searchsorted(found["doc"], ids, side="right")
             for k in range(len(ids)):
                 mine = found[first[k] : last[k]]
@@ -467,9 +469,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (first byte, byte after the last) of each row."""
     spark = docs.sparkSession
     short_batches(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, groups = 4 * parallelism(spark), max(1, total // GROUP + 1)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    each = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), (F.min("hash") != F.max("hash")).alias("differ"))
+    total, differ = each.agg(F.sum("bytes"), F.max("differ")).first()
+    total = total or 0
+    named = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
+    if differ:
+        rows = rows.join(_numbered(rows), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")))
+    else:
+        rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    rows = rows.select("key", "text", "doc_id")
+    buckets, groups = max(parallelism(spark), total // BUCKET), max(1, total // GROUP + 1)
     first = rows.mapInArrow(_local(length, buckets, groups), SCHEMA)
     asked = F.col("kind") == ASKED
     both = first.withColumn("spread", F.when(asked, F.col("bucket")).otherwise(-1 - F.col("bucket")))
@@ -479,19 +489,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         return _merge(length, groups)(table) if table.column("kind")[0].as_py() == ASKED else table.select(NAMES)
 
     second = cut(both.groupBy("spread").applyInArrow(merged, SCHEMA))
-    homed = rows.mapInArrow(_homes(groups), f"bucket long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    homed = rows.mapInArrow(_homes(groups), f"bucket long, key long, text string, {named}")
     asks = second.filter(asked).select("bucket", "data")
     parts = homed.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_cut_out(length, buckets), "bucket long, data binary")
     third = parts.groupBy("bucket").applyInArrow(_decide(length, groups), SCHEMA)
     spans = second.filter(~asked).select("bucket", "data").unionByName(third.select("bucket", "data"))
     kind = rows.limit(0).toArrow().schema.field("doc_id").type
-    out = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+    out = f"{named}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     return homed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_finish(kind), out)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A number for every id and hash of a text, in their order."""
+    pairs = rows.select(F.col("doc_id").cast("long").alias("place"), F.col("doc_id").alias("of_id"), F.col("hash").alias("of_hash")).distinct()
+    ordered = pairs.repartitionByRange(parallelism(rows.sparkSession), "place", "of_hash").sortWithinPartitions("place", "of_hash")
+    return cut(ordered.select("of_id", "of_hash", F.monotonically_increasing_id().alias("key")))
+
+
 def _homes(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, 1, 8 << 20):
-            yield pa.record_batch([pa.array(_home(_ids(piece.column(0)), groups)), piece.column(0), piece.column(1)], ["bucket", "doc_id", "text"])
+            yield pa.record_batch([pa.array(_home(_ids(piece.column(0)), groups)), *piece.columns], ["bucket", "key", "text", "doc_id"])
 
     return run

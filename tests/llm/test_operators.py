@@ -65,6 +65,20 @@ def test_repeats_that_overlap_and_recur(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(rows, 100)
 
 
+def test_repeats_of_texts_that_share_an_id(spark):
+    """Different texts of one id, or of none, are searched and cut each by its own ranges."""
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefgh ") for _ in range(400))
+    text = lambda: "".join(base[(a := r.randrange(300)) : a + r.randrange(60, 250)] + r.choice("xyz") for _ in range(4))
+    rows = [(i, text()) for i in (None, None, None, 3, 3, 4, 7, 7, 9)]
+    table = spark.createDataFrame([*rows, rows[4]], "doc_id long, text string")
+    by = table.distinct().orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    want = brute.repeats([(k, x.text) for k, x in enumerate(by)], 100)
+    got = suffix_dedup.remove_repeats(table.repartition(3)).collect()
+    again = next(k for k, x in enumerate(by) if (x.doc_id, x.text) == rows[4])
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((by[k].doc_id or 0, *want[k]) for k in [*want, again])
+
+
 # near duplicates
 
 
