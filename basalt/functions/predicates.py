@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPS = (">", ">=", "<", "<=", "=")
 
@@ -32,20 +33,25 @@ def literal(value: Any) -> Column:
     return F.lit(value)
 
 
-def compare(column: Column, op: str, value: Any) -> Column:
-    """A comparison as SQL has it, but a float NaN matches nothing."""
+def compare(column: Column, op: str, value: Any, floating: bool | None = None) -> Column:
+    """A comparison as SQL has it, but a float NaN matches nothing.
+
+    floating: whether the column holds floats; if that isn't known, the literal tells.
+    """
     made = {">": column > value, ">=": column >= value, "<": column < value, "<=": column <= value, "=": column == value}[op]
-    return made & ~F.isnan(column) if isinstance(value, float) else made
+    return made & ~F.isnan(column) if (isinstance(value, float) if floating is None else floating) else made
 
 
-def condition(predicate: Predicate) -> Column:
-    return compare(F.col(predicate.column), predicate.op, predicate.value)
+def condition(predicate: Predicate, schema: T.StructType | None = None) -> Column:
+    """The comparison over a table of this schema; its types decide where a NaN can be."""
+    known = {f.name: isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in schema.fields} if schema else {}
+    return compare(F.col(f"`{predicate.column}`"), predicate.op, predicate.value, known.get(predicate.column))
 
 
-def conjunction(predicates: list[Predicate]) -> Column:
+def conjunction(predicates: list[Predicate], schema: T.StructType | None = None) -> Column:
     whole = F.lit(True)
     for p in predicates:
-        whole = whole & condition(p)
+        whole = whole & condition(p, schema)
     return whole
 
 

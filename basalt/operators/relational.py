@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from basalt.functions.aggregates import aggregate
 from basalt.functions.predicates import Predicate, conjunction
-from basalt.plans.cost import JoinChoice
+from basalt.plans.cost import HASH_BYTES, JoinChoice
 
 
 def filter_rows(df: DataFrame, *predicates: Predicate) -> DataFrame:
-    return df.filter(conjunction(list(predicates))) if predicates else df
+    return df.filter(conjunction(list(predicates), df.schema)) if predicates else df
 
 
 def project(df: DataFrame, *columns: str) -> DataFrame:
@@ -32,9 +32,11 @@ def aggregate_rows(df: DataFrame, keys: list[str], aggs: list[tuple[str, str | N
 def join_rows(left: DataFrame, right: DataFrame, on: Column | list[str], choice: JoinChoice | None = None, how: str = "inner") -> DataFrame:
     """An equi-join. With a choice, its build side is broadcast, or both sides are hashed with the build side named.
 
-    The broadcast hint is only given for a side that the cost model holds under its bound.
+    The hints are only given for a side that the cost model holds under its bounds: a hashed
+    partition can't spill, so a build side of more than ``HASH_BYTES`` for each partition is
+    left to Spark, which sorts, spills and splits skewed keys.
     """
-    if choice is not None and how == "inner":
+    if choice is not None and how == "inner" and (choice.strategy == "broadcast" or choice.build_bytes <= HASH_BYTES * choice.partitions):
         hint = "broadcast" if choice.strategy == "broadcast" else "shuffle_hash"
         left, right = (left.hint(hint), right) if choice.build == "left" else (left, right.hint(hint))
     return left.join(right, on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.functions.predicates import OPS, Predicate, prunes_column
+from basalt.functions.predicates import OPS, Predicate, condition, prunes_column
 from basalt.session import cut
 
 BLOCK_ROWS = 65_536
@@ -22,14 +22,13 @@ def with_blocks(df: DataFrame, order: list[str], rows: int = BLOCK_ROWS, partiti
     spread = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     local = cut(spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = {r["__part"]: r["n"] for r in local.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, total = F.lit(0).cast("long"), 0
-    pairs = []
+    starts, total = [], 0
     for part in sorted(counts):
-        pairs += [F.lit(part), F.lit(total)]
+        starts.append((part, total))
         total += counts[part]
-    if pairs:
-        offset = F.create_map(*pairs)[F.col("__part")].cast("long")
-    return local.withColumn(name, F.floor((F.col("__at") + offset) / F.lit(rows)).cast("long")).drop("__part", "__at")
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __before long"))  # a row for each partition
+    placed = local.join(before, "__part")
+    return placed.withColumn(name, F.floor((F.col("__at") + F.col("__before")) / F.lit(rows)).cast("long")).drop("__part", "__at", "__before")
 
 
 def build_zone_map(df: DataFrame, block: str, columns: list[str]) -> DataFrame:
@@ -51,7 +50,18 @@ def surviving(zones: DataFrame, predicate: Predicate) -> DataFrame:
 def pruned_scan(df: DataFrame, zones: DataFrame, block: str, predicate: Predicate) -> DataFrame:
     """Rows that satisfy the predicate, from the blocks that may hold some."""
     kept = surviving(zones, predicate).select(block)
-    return df.join(kept, block, "left_semi").filter(f"`{predicate.column}` {predicate.op} {predicate.value!r}")
+    return df.join(kept, block, "left_semi").filter(condition(predicate, df.schema))
+
+
+def pruned_files(df: DataFrame, zones: DataFrame, predicate: Predicate) -> DataFrame:
+    """Rows of a Parquet scan that satisfy the predicate; files that its zone map rules out are never opened.
+
+    zones: ``file_zone_map`` of the scan. Names of the files that are left go to the driver.
+    """
+    spark = df.sparkSession
+    paths = [r[0] for r in surviving(zones, predicate).select("file").orderBy("file").collect()]
+    rows = spark.read.schema(df.schema).parquet(*paths) if paths else spark.createDataFrame([], df.schema)
+    return rows.filter(condition(predicate, df.schema))
 
 
 def prune_counts(zones: DataFrame, column: str, value) -> DataFrame:

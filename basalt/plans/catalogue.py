@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import copy
 import decimal
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basalt import session
 from basalt.functions.aggregates import exact_avg, stats, wrapping_sum
 from basalt.functions.predicates import Predicate, approx_eq, date_from_days
 from basalt.functions.zorder import normalised, zorder
@@ -18,9 +20,10 @@ from basalt.operators.relational import aggregate_rows, filter_rows, join_rows,
 from basalt.operators.zonemap import build_zone_map, prune_counts, pruned_scan, with_blocks
 from basalt.plans.cost import JoinChoice, choose_join
 from basalt.plans.engine import Engine
-from basalt.session import read_table, register_tables
+from basalt.session import read_table
+from basalt.sources.store import ObjectStore
 from basalt.sources.table import Table
-from basalt.streaming.epochs import MemoryOffsets, Sizer, drain_to_table, plan_work, run_until_caught_up, table_sink
+from basalt.streaming.epochs import Epoch, MemoryOffsets, Sizer, StoredOffsets, drain_to_table, plan_work, run_until_caught_up, table_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,19 +41,17 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def sql(name: str, text: str, oracle: str | None = None, tables: tuple[str, ...] = ("lineitem", "orders", "customer", "supplier", "nation", "events")) -> None:
-    """A query that is the same text in both engines, or differs as ``oracle`` says."""
+    """A query of the engine that is the same text in both, or differs as ``oracle`` says."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_tables(spark, sf_dir, tuple(t for t in tables if t in text))
-        return spark.sql(text)
+        return _engine(spark, sf_dir, *(t for t in tables if t in text)).sql(text)
 
     QUERIES[name], ORACLES[name] = run, oracle or text
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors see."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/basalt-tables"
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{session.shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 # aggregate scans
@@ -361,6 +362,18 @@ def manifest_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.scan(snapshot_id=first).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE x = 1.0) AS ones FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.5 END AS x FROM events WHERE event_id % 2 = 0) t WHERE x > 0")
+def nan_matches_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An integer literal against a float column that holds NaN, over a manifest table; SQL's side leaves out those rows."""
+    x = F.when(F.col("event_id") % 2 == 1, F.lit(float("nan"))).when(F.col("event_id") % 3 == 0, 1.0).otherwise(0.5)
+    rows = read_table(spark, sf_dir, "events").select(x.alias("x"))
+    table = Table.create(spark, shared_folder(spark), rows.schema)
+    table.append(rows)
+    engine = Engine(spark)
+    engine.register("t", table)
+    return engine.sql("SELECT x FROM t WHERE x > 0", strict=True).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == 1.0).alias("ones"))
+
+
 @query("""SELECT o.o_orderstatus AS st, CAST(SUM(l.l_partkey) AS BIGINT) AS s, COUNT(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
           WHERE l.l_orderkey > 10000 GROUP BY o.o_orderstatus""")
 def lakehouse_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,6 +404,7 @@ class _EventLog:
     """The events as a log of four partitions."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.ends: dict[int, int] | None = None
         w = Window.partitionBy("partition").orderBy("event_id")
         rows = read_table(spark, sf_dir, "events").withColumn("partition", (F.col("event_id") % 4).cast("int"))
         self.rows = rows.select("partition", (F.row_number().over(w) - 1).cast("long").alias("offset"), F.col("event_id").alias("key"), F.col("user_id").alias("value"))
@@ -398,7 +412,15 @@ class _EventLog:
     def frame(self) -> DataFrame:
         return self.rows
 
+    def part(self, share: int) -> "_EventLog":
+        """The log when it was one ``share``-th as long."""
+        less = copy.copy(self)
+        less.ends = {p: n // share for p, n in self.high_watermarks().items()}
+        return less
+
     def high_watermarks(self) -> dict[int, int]:
+        if self.ends is not None:
+            return self.ends
         return {r["partition"]: r["n"] for r in self.rows.groupBy("partition").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -421,7 +443,23 @@ def epoch_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = Table.create(spark, shared_folder(spark), log.frame().schema)
     sink = table_sink(table, "events")
     run_until_caught_up(log, MemoryOffsets(), "events", sink, Sizer(2000, 8, 1, 1000))
-    sink(log.frame(), 0)
+    sink(log.frame(), Epoch(0, {}, log.high_watermarks()))
+    return table.scan().groupBy((F.col("key") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+
+
+@query("SELECT key % 10 AS k, COUNT(*) AS n, CAST(SUM(value) AS BIGINT) AS s FROM (SELECT event_id AS key, user_id AS value FROM events) t GROUP BY 1")
+def epoch_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that grows between three runs, the first of which dies after its sink; offsets and table outlive each run."""
+    log = _EventLog(spark, sf_dir)
+    table, folder = Table.create(spark, shared_folder(spark), log.frame().schema), shared_folder(spark)
+
+    def dies(rows: DataFrame, epoch: Epoch) -> None:
+        table_sink(table, "events")(rows, epoch)
+        raise InterruptedError
+
+    for share, sink in ((3, dies), (2, table_sink(table, "events")), (1, table_sink(table, "events"))):
+        with contextlib.suppress(InterruptedError):
+            run_until_caught_up(log.part(share), StoredOffsets(ObjectStore(spark, folder)), "events", sink, Sizer(2000, 8, 1, 1000))
     return table.scan().groupBy((F.col("key") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
 
 

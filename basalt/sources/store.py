@@ -50,9 +50,15 @@ class ObjectStore:
                 raise OSError(f"cannot rename to {self.path(key)}")
 
     def create(self, key: str, data: bytes) -> bool:
-        """Write if no such object is there yet. Of several writers one gets True."""
+        """Write if no such object is there yet. Of several writers one gets True.
+
+        File systems rename without replacing; S3, where a rename is a copy, writes on the
+        condition that the object isn't there, and refuses where that is not supported.
+        """
         if self.exists(key):
             return False
+        if self.uri.startswith(("s3a:", "s3:")):
+            return self._create_on_condition(key, data)
         part = f"{key}.{uuid.uuid4().hex}.part"
         self._write(part, data, True)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
@@ -66,6 +72,20 @@ class ObjectStore:
             raise
         return True
 
+    def _create_on_condition(self, key: str, data: bytes) -> bool:
+        builder = self._fs.createFile(self._at(key)).overwrite(False).recursive()
+        try:
+            stream = builder.must("fs.option.create.conditional.overwrite", True).build()
+            try:
+                stream.write(bytearray(data))
+            finally:
+                stream.close()
+        except Exception as why:
+            if any(name in str(why) for name in ("FileAlreadyExists", "RemoteFileChanged", "412")):
+                return False
+            raise
+        return True
+
     def delete(self, key: str) -> None:
         """Deleting what is not there is no error."""
         self._fs.delete(self._at(key), True)

@@ -2,8 +2,9 @@
 
 The log is a table of (partition, offset, key, value). An epoch reads what lies between the
 committed offsets and the log's end, hands it to the sink, and commits the offsets when the
-sink has returned. A sink that is keyed by epoch (``Table.append`` with a batch id) makes a
-repeated epoch harmless, so a record takes effect once.
+sink has returned. A sink that keeps the ends it has taken beside its rows (``table_sink``)
+leaves out what it has, so a record takes effect once, whatever number an epoch has after a
+restart.
 """
 
 from __future__ import annotations
@@ -43,6 +44,15 @@ class WorkUnit:
     end: int  # not included
 
 
+@dataclass(frozen=True)
+class Epoch:
+    """What a sink is told of its rows: they lie from ``starts`` up to ``ends`` (not included) of each partition."""
+
+    number: int
+    starts: dict[int, int]
+    ends: dict[int, int]
+
+
 @dataclass
 class EpochReport:
     epoch_id: int
@@ -139,7 +149,7 @@ class StoredOffsets:
         self.store.put(f"{self.prefix}/{stream}.json", json.dumps(self._all(stream) | offsets).encode())
 
 
-Sink = Callable[[DataFrame, int], None]
+Sink = Callable[[DataFrame, Epoch], None]
 
 
 def run_epoch(epoch_id: int, log: Log, offsets: Offsets, stream: str, sink: Sink, sizer: Sizer = Sizer(), local_workers: int = 0) -> EpochReport:
@@ -159,8 +169,8 @@ def run_epoch(epoch_id: int, log: Log, offsets: Offsets, stream: str, sink: Sink
     rows = log.frame().filter(due)
     unit = F.floor(F.col("offset") / sizer.max_per_unit)
     rows = rows.repartition(min(max(workers, 1), len(units)), "partition", unit)
-    sink(rows, epoch_id)
     done = {p: high[p] for p in high if committed[p] < high[p]}
+    sink(rows, Epoch(epoch_id, {p: committed[p] for p in done}, done))
     offsets.put(stream, done)
     return EpochReport(epoch_id, lag, workers, len(units), lag, 1000 * (time.perf_counter() - began), done)
 
@@ -176,10 +186,10 @@ def run_until_caught_up(log: Log, offsets: Offsets, stream: str, sink: Sink, siz
 
 
 def table_sink(table: Table, stream: str) -> Sink:
-    """A sink that appends each epoch to a table once, however often the epoch is run."""
+    """A sink that appends each record to a table once, however often its epoch is run and under whatever number."""
 
-    def sink(rows: DataFrame, epoch_id: int) -> None:
-        table.append(rows, stream, epoch_id)
+    def sink(rows: DataFrame, epoch: Epoch) -> None:
+        table.append_offsets(rows, stream, epoch.ends)
 
     return sink
 

@@ -1,5 +1,7 @@
 """Manifest tables, catalog, planner, layout and epochs end to end."""
 
+import datetime
+import decimal
 import json
 import random
 
@@ -7,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions.predicates import OPS, Predicate
-from basalt.operators.cluster import WorkloadStats, clustering_quality, recluster, write_clustered
+from basalt.operators.cluster import WorkloadStats, clustering_quality, key_bits, recluster, write_clustered
 from basalt.operators.relational import aggregate_rows, join_rows
-from basalt.operators.zonemap import build_zone_map, file_zone_map, prune_counts, pruned_scan, surviving, with_blocks
+from basalt.operators.zonemap import build_zone_map, file_zone_map, prune_counts, pruned_files, pruned_scan, surviving, with_blocks
 from basalt.plans.cost import JoinChoice
 from basalt.plans.dialect import DialectError
 from basalt.plans.engine import Engine, render
@@ -21,10 +23,11 @@ from basalt.streaming.log_source import LogSource
 
 
 @pytest.fixture
-def sales(spark, tmp_path):
-    rows = spark.range(4000).select("id", (F.col("id") % 20).alias("gid"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).alias("amount"), (F.col("id") * 10).alias("ts"), F.concat(F.lit("n"), F.col("id") % 7).alias("name"))
-    table = Table.create(spark, str(tmp_path / "sales"), rows.schema)
-    table.append(rows.repartitionByRange(8, "ts"))
+def readings(spark, tmp_path):
+    """4,000 readings of 20 probes in eight files, cut at every 500th second."""
+    rows = spark.range(0, 4000, 1, 8).select("id", (F.col("id") % 20).alias("probe"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).alias("level"), (F.col("id") * 3).alias("second"), F.concat(F.lit("n"), F.col("id") % 7).alias("name"))
+    table = Table.create(spark, str(tmp_path / "readings"), rows.schema)
+    table.append(rows)
     return table
 
 
@@ -52,62 +55,116 @@ def test_catalog_fences_and_conflicts(spark, tmp_path):
     assert c.commit("t", "new", epoch=3) == 3 and c.load("t") == "new" and c.names() == ["t"] and c.epoch == 3
 
 
-def test_pruned_scan_equals_full_scan(spark, sales):
+def test_pruned_scan_equals_full_scan(spark, readings):
     r = random.Random(5)
-    whole = sales.scan().collect()
+    whole = readings.scan().collect()
     python = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b}
     for _ in range(8):
-        column = r.choice(["ts", "gid", "name"])
-        value = {"ts": r.randrange(-10, 45000), "gid": r.randrange(-1, 22), "name": f"n{r.randrange(9)}"}[column]
+        column = r.choice(["second", "probe", "name"])
+        value = {"second": r.randrange(-10, 13000), "probe": r.randrange(-1, 22), "name": f"n{r.randrange(9)}"}[column]
         op = r.choice(OPS)
-        assert sales.scan([Predicate(column, op, value)]).count() == sum(python[op](x[column], value) for x in whole)
+        assert readings.scan([Predicate(column, op, value)]).count() == sum(python[op](x[column], value) for x in whole)
 
 
-def test_files_are_pruned(sales):
-    _, report = sales.plan_files([Predicate("ts", ">", 33000)])
-    assert (report.files, report.files_pruned) == (8, 6) and report.rows_left == 1000
-    assert sales.bounds()["amount"][0] >= 1 and sales.bounds()["ts"] == (0, 39990)
+def test_files_are_pruned(readings):
+    _, report = readings.plan_files([Predicate("second", "<", 3600)])
+    assert (report.files, report.files_pruned, report.rows_left) == (8, 5, 1500)
+    assert readings.bounds()["level"][0] >= 1 and readings.bounds()["second"] == (0, 11997)
 
 
-def test_append_carries_files_forward(spark, sales):
-    first = sales.snapshots()[-1]["snapshot-id"]
-    sales.append(sales.scan().limit(5))
-    assert sales.scan().count() == 4005 and sales.scan(snapshot_id=first).count() == 4000
-    assert sales.append(sales.scan().limit(3), "s", 0) and sales.append(sales.scan().limit(3), "s", 0) is None
-    assert sales.scan().count() == 4008
+def test_append_carries_files_forward(spark, readings):
+    first = readings.snapshots()[-1]["snapshot-id"]
+    readings.append(readings.scan().limit(5))
+    assert readings.scan().count() == 4005 and readings.scan(snapshot_id=first).count() == 4000
+    assert readings.append(readings.scan().limit(3), "s", 0) and readings.append(readings.scan().limit(3), "s", 0) is None
+    assert readings.scan().count() == 4008
     with pytest.raises(Conflict):
-        Table.create(spark, sales.root, sales.schema)
+        Table.create(spark, readings.root, readings.schema)
 
 
-def test_planner(spark, sales):
+def test_writers_of_one_table(spark, tmp_path, monkeypatch):
+    """A conflict writes no rows twice; what no snapshot names goes."""
+    table = Table.create(spark, str(tmp_path / "t"), spark.range(1).schema)
+    commit, met = Table._commit, []
+
+    def second(self, version, meta):
+        if not met:
+            met.append(1)
+            Table(spark, table.root).append(spark.range(100, 103))
+        return commit(self, version, meta)
+
+    monkeypatch.setattr(Table, "_commit", second)
+    table.append(spark.range(5))
+    monkeypatch.setattr(Table, "_commit", lambda self, version, meta: False)
+    with pytest.raises(Conflict):
+        table.append(spark.range(7), attempts=2)
+    monkeypatch.undo()
+    assert sorted(r.id for r in table.scan().collect()) == [0, 1, 2, 3, 4, 100, 101, 102]
+    assert sorted({r.sequence_number for r in table.manifest().collect()}) == [1, 2]
+    assert len({k.split("/")[1] for k in table.store.list("data")}) == 2 and len({k.split("/")[1] for k in table.store.list("manifests")}) == 2
+
+
+def test_catalog_fences_a_table(spark, tmp_path):
+    catalog = Catalog(ObjectStore(spark, str(tmp_path / "c")))
+    catalog.promote(1)
+    old = Table.create(spark, str(tmp_path / "t"), spark.range(1).schema, catalog, "levels", epoch=1)
+    old.append(spark.range(4))
+    catalog.promote(2)
+    new = Table(spark, str(tmp_path / "t"), catalog, "levels", epoch=2)
+    with pytest.raises(Fenced):
+        old.append(spark.range(9))
+    new.append(spark.range(10, 12))
+    assert sorted(r.id for r in new.scan().collect()) == [0, 1, 2, 3, 10, 11] and catalog.names() == ["levels"]
+    with pytest.raises(Conflict):
+        Table.create(spark, str(tmp_path / "t"), spark.range(1).schema, catalog, "levels", epoch=2)
+
+
+def test_nan_over_integer_literals(spark, tmp_path):
+    rows = spark.createDataFrame([(float("nan"), 1), (1.0, 2), (-1.0, 3)], "x double, k int")
+    table = Table.create(spark, str(tmp_path / "t"), rows.schema)
+    table.append(rows)
     engine = Engine(spark)
-    engine.register("sales", sales)
-    regions = spark.range(20).select("id", F.concat(F.lit("r"), F.col("id") % 3).alias("region"))
-    engine.register("regions", regions)
-    text = "SELECT r.region, SUM(s.amount), COUNT(*) FROM sales s JOIN regions r ON s.gid = r.id WHERE s.ts > 33000 GROUP BY r.region ORDER BY 2 DESC LIMIT 5"
+    for name, source in (("kept", table), ("frame", rows)):
+        engine.register(name, source)
+        for text, n in (("x > 0", 1), ("x > 0.0", 1), ("x >= -1", 2), ("k > 1", 2)):
+            assert engine.sql(f"SELECT k FROM {name} WHERE {text}", strict=True).count() == n
+
+
+def test_planner(spark, readings):
+    engine = Engine(spark)
+    engine.register("readings", readings)
+    probes = spark.range(20).select("id", F.concat(F.lit("site "), F.col("id") % 3).alias("site"))
+    engine.register("probes", probes)
+    text = "SELECT p.site, MAX(x.level), COUNT(*) FROM readings x JOIN probes p ON x.probe = p.id WHERE x.second < 3600 GROUP BY p.site ORDER BY 3 DESC LIMIT 2"
     said = engine.explain(text)
-    assert "files pruned 6 of 8" in said and "broadcast" in said and "BroadcastHashJoin" in said and "TopN 5" in said
+    assert "files pruned 5 of 8" in said and "broadcast" in said and "BroadcastHashJoin" in said and "TopN 2" in said
     got = engine.sql(text, strict=True)
-    assert got.columns == ["region", "SUM(amount)", "COUNT(*)"] and got.count() == 3
-    assert engine.stats.choose_keys(sales.schema.names) == ["ts"]
-    assert engine.sql("SELECT COUNT(*) AS n FROM sales LEFT JOIN regions ON gid = regions.id").first().n == 4000
-    assert "region" in render(got)
-    for bad in ("SELECT name FROM sales WHERE name > 3", "SELECT id FROM sales s JOIN regions r ON s.gid = r.id", "SELECT x FROM sales", "SELECT gid FROM sales WHERE gid > 'a'", "SELECT a FROM nowhere"):
+    assert got.columns == ["site", "MAX(level)", "COUNT(*)"] and got.count() == 2
+    assert engine.stats.choose_keys(readings.schema.names) == ["second"]
+    assert engine.sql("SELECT COUNT(*) AS n FROM readings LEFT JOIN probes ON probe = probes.id").first().n == 4000
+    assert "site" in render(got)
+    for bad in ("SELECT name FROM readings WHERE name > 3", "SELECT id FROM readings x JOIN probes p ON x.probe = p.id", "SELECT x FROM readings", "SELECT probe FROM readings WHERE probe > 'a'", "SELECT a FROM nowhere"):
         with pytest.raises(DialectError):
             engine.sql(bad, strict=True)
 
 
-def test_join_strategies_agree(spark, sales):
-    left, right = sales.scan(), sales.scan().select("id", F.col("gid").alias("g2"))
+def test_join_strategies_agree(spark, readings):
+    left, right = readings.scan(), readings.scan().select("id", F.col("probe").alias("p2"))
     broadcast, shuffle = (join_rows(left, right, ["id"], JoinChoice("right", s, 16, 0)) for s in ("broadcast", "shuffle"))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan(broadcast) and "ShuffledHashJoin" in plan(shuffle)
-    assert broadcast.groupBy("gid").count().exceptAll(shuffle.groupBy("gid").count()).count() == 0
+    assert broadcast.groupBy("probe").count().exceptAll(shuffle.groupBy("probe").count()).count() == 0
+
 
+def test_a_large_build_side_is_left_to_spark(spark, readings):
+    left, right = readings.scan(), readings.scan().select("id", F.col("probe").alias("p2"))
+    plan = join_rows(left, right, ["id"], JoinChoice("right", "shuffle", 16, 1 << 40))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan
 
-def test_predicates_reach_the_scan(sales):
-    plan = sales.scan([Predicate("ts", ">", 33000)], ["gid"])._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(ts,33000)" in plan and "name" not in plan.split("ReadSchema")[1]
+
+def test_predicates_reach_the_scan(readings):
+    plan = readings.scan([Predicate("second", "<", 3600)], ["probe"])._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(second,3600)" in plan and "name" not in plan.split("ReadSchema")[1]
 
 
 def test_empty_aggregates(spark):
@@ -116,28 +173,43 @@ def test_empty_aggregates(spark):
     assert aggregate_rows(none, [], [("COUNT", None, "n")], compat_empty=True).collect() == []
 
 
-def test_blocks_and_zones(spark, sales):
-    laid = with_blocks(sales.scan(), ["ts"], 512)
-    counts = {r.block: r.n_rows for r in build_zone_map(laid, "block", ["ts"]).collect()}
+def test_blocks_and_zones(spark, readings):
+    laid = with_blocks(readings.scan(), ["second"], 512)
+    counts = {r.block: r.n_rows for r in build_zone_map(laid, "block", ["second"]).collect()}
     assert counts == {k: min(512, 4000 - 512 * k) for k in range(8)}
-    zones = build_zone_map(laid, "block", ["ts"])
-    assert surviving(zones, Predicate("ts", ">", 33000)).count() == 2
-    assert prune_counts(zones, "ts", 33000).first().pruned_gt == 6
-    assert pruned_scan(laid, zones, "block", Predicate("ts", ">", 33000)).count() == 699
-    assert file_zone_map(sales.scan(), ["ts"]).count() == 8
+    zones, few = build_zone_map(laid, "block", ["second"]), Predicate("second", "<", 1000)
+    assert surviving(zones, few).count() == 1
+    assert prune_counts(zones, "second", 1000).first().pruned_lt == 7
+    assert pruned_scan(laid, zones, "block", few).count() == 334
+    files = file_zone_map(readings.scan(), ["second"])
+    assert files.count() == 8 and pruned_files(readings.scan(), files, few).count() == 334
+    assert len(pruned_files(readings.scan(), files, few).inputFiles()) == 1
+    assert pruned_files(readings.scan(), files, Predicate("second", "<", 0)).count() == 0
+
 
+def test_zones_of_dates_and_texts(spark):
+    rows = spark.range(100).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.format_string("k'%03d", "id").alias("name"), (F.col("id") / 4).cast("decimal(9,2)").alias("price"))
+    laid = with_blocks(rows, ["day"], 10)
+    zones = build_zone_map(laid, "block", ["day", "name", "price"])
+    for column, value, n in (("day", datetime.date(2020, 1, 8), 7), ("name", "k'012", 12), ("price", decimal.Decimal("5.25"), 21)):
+        assert pruned_scan(laid, zones, "block", Predicate(column, "<", value)).count() == n
 
-def test_recluster(spark, sales, tmp_path):
+
+def test_bits_follow_hits():
+    assert key_bits([1, 1], 6) == [0, 1, 0, 1, 0, 1] and key_bits([3, 1], 8) == [0, 0, 0, 1, 0, 0, 0, 1] and sorted(key_bits([5, 1])).count(0) == 32
+
+
+def test_recluster(spark, readings, tmp_path):
     stats = WorkloadStats()
-    stats.record("ts", 40)
-    stats.record("amount", 12)
-    shuffled = sales.scan().orderBy(F.xxhash64("id"))
-    before = build_zone_map(with_blocks(shuffled.withColumn("h", F.xxhash64("id")), ["h"], 256), "block", ["ts"])
+    stats.record("second", 40)
+    stats.record("level", 12)
+    shuffled = readings.scan().orderBy(F.xxhash64("id"))
+    before = build_zone_map(with_blocks(shuffled.withColumn("h", F.xxhash64("id")), ["h"], 256), "block", ["second"])
     laid, after, keys = recluster(shuffled, stats, 256)
-    assert keys == ["ts", "amount"] and laid.count() == 4000 and laid.drop("block").exceptAll(sales.scan()).count() == 0
-    quality = [clustering_quality(z, "ts").first().quality for z in (before, after)]
-    assert quality[0] > 0.9 and quality[1] < 0.5
-    assert prune_counts(before, "ts", 38000).first().pruned_gt < prune_counts(after, "ts", 38000).first().pruned_gt
+    assert keys == ["second", "level"] and laid.count() == 4000 and laid.drop("block").exceptAll(readings.scan()).count() == 0
+    quality = [clustering_quality(z, "second").first().quality for z in (before, after)]
+    assert quality[0] > 0.9 and quality[1] < 0.2
+    assert prune_counts(before, "second", 11000).first().pruned_gt < prune_counts(after, "second", 11000).first().pruned_gt
     assert write_clustered(shuffled, stats, str(tmp_path / "laid"), 4) == keys
     with pytest.raises(ValueError):
         recluster(shuffled, WorkloadStats())
@@ -157,22 +229,28 @@ def test_epochs_drain_and_commit(spark):
 
 
 def test_restart_takes_each_record_once(spark, tmp_path):
-    log = _log(spark, 4, [(i % 4, i, i) for i in range(600)])
+    """Runs with default arguments, one of which dies between sink and commit, each with offsets read anew."""
+    log = _log(spark, 3, [(i % 3, i, 7 * i) for i in range(330)])
     table = Table.create(spark, str(tmp_path / "t"), log.frame().schema)
-    offsets = StoredOffsets(ObjectStore(spark, str(tmp_path)))
-    sink = table_sink(table, "payments")
+    sink, sizer = table_sink(table, "meters"), Sizer(90, 4, 1, 40)
+
+    def run(sink=sink):
+        return run_until_caught_up(log, StoredOffsets(ObjectStore(spark, str(tmp_path))), "meters", sink, sizer)
 
     def dies(rows, epoch):
         sink(rows, epoch)
         raise RuntimeError("after the sink, before the commit")
 
     with pytest.raises(RuntimeError):
-        run_epoch(0, log, offsets, "payments", dies, Sizer(200, 8, 1, 50))
-    run_until_caught_up(log, StoredOffsets(ObjectStore(spark, str(tmp_path))), "payments", sink, Sizer(200, 8, 1, 50))
-    log.push_batch([(i % 4, i, i) for i in range(600, 900)])
-    run_until_caught_up(log, offsets, "payments", sink, Sizer(200, 8, 1, 50), first_epoch=5)
+        run(dies)
+    log.push_batch([(i % 3, i, 7 * i) for i in range(330, 391)])
+    assert [r.units_total > 0 for r in run()] == [True, False]
+    log.push_batch([(2, i, 7 * i) for i in range(391, 393)])
+    run()
+    assert [r.units_total for r in run()] == [0]
     got = table.scan()
-    assert got.count() == 900 and got.select("key").distinct().count() == 900
+    assert sorted(r.key for r in got.select("key").collect()) == list(range(393))
+    assert table.append_offsets(log.frame(), "meters", log.high_watermarks()) is None
 
 
 def test_file_log(spark, tmp_path):
