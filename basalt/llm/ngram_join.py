@@ -2,26 +2,31 @@
 
 Two documents link when ``den`` * intersection >= ``num`` * union of their sets of shingles.
 In any common order of shingles, sets that link share at least l of their first
-n - ceil(t n) + l shingles (AdaptJoin). The join uses this three times:
+n - ceil(t n) + l shingles (AdaptJoin). The join uses this twice:
 
 1. Each text gives its first shingles in the order of their hashes, with l a tenth of the
    set: a sample in which linked sets share as many. The shingles meet in buckets, which
    count in how many documents each occurs. A document that shares fewer than it must is
    done: nothing links with it.
-2. What is left is ordered by that count. All but the rarest shared ones needed are dropped.
-   Documents that share one of those are candidates; candidates form components.
-3. The texts of a component meet in one task (large ones in pairs of blocks that their
-   sizes allow to link). There every document picks its own l: a longer prefix costs more
-   scanned postings but leaves fewer candidates, as both are estimated from the counts of
-   its rarest shingles. A pair that shares the smaller l of the two and is not connected
-   yet is verified on the whole sets.
+2. What is left is ordered by that count, and every document picks its own l: a longer prefix
+   costs more postings, but asks for more shared shingles and so leaves fewer candidates; both
+   are estimated from the counts of its rarest shingles. Documents that share a prefix
+   shingle form candidate components.
+3. Samples, not texts, of a component meet: small components in shared tasks, large ones in
+   pairs of blocks of one or neighbouring classes of size, beyond which nothing can link. A
+   pair is a candidate if the prefixes share the smaller l of the two, and if the samples
+   share so many that the whole sets may link, as all of the sample with the smaller last
+   hash is known of both. Of the candidates a spanning forest is proposed.
+4. Proposed pairs, each on its own, meet with their texts and are verified on the whole sets.
+   Where some fail, their tasks propose again among documents not connected yet, four times
+   as many forests in each round, until no candidate is left untested that could connect two.
 
 Equal sets are one candidate, however many documents have them. Hashes have 64 bits.
 
 Defined cases: texts without words, or null, have no shingles and link with nothing; texts
 of fewer words than n have one shingle, the whole; rows that repeat an id stand for one
-document; null ids come back with their size and no component; an empty table gives an
-empty result.
+document, that of the least fingerprint if their texts differ; null ids come back with their
+size and no component; other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,12 +44,14 @@ from basalt.llm._tokens import Tokens, U, mix
 
 #: The part of a set by which its first prefix is longer than one shared shingle needs.
 SHARE = 10
-#: Documents of a component in a block; pairs of blocks meet in one task.
-BLOCK = 6000
+#: Documents of a block; two blocks, or small components of as many, meet in one task. Shingles verified in one.
+BLOCK, VERIFY = 512, 1 << 19
+#: Documents that share a shingle, up to which their pairs are listed; beyond, matrices count.
+FEW = 16
 INFO, POST = 0, 1
 POSTING = np.dtype([("doc", "<i8"), ("token", "<u8")])
 SHARED = np.dtype([("doc", "<i8"), ("token", "<u8"), ("df", "<u4")])
-ABOUT = np.dtype([("doc", "<i8"), ("n", "<u4"), ("x", "<u4"), ("f", "<u8"), ("g", "<u8")])
+ABOUT = np.dtype([("doc", "<i8"), ("n", "<u4"), ("x", "<u4"), ("f", "<u8"), ("g", "<u8"), ("last", "<u8")])
 SCHEMA, NAMES = "kind int, bucket long, data binary", ["kind", "bucket", "data"]
 
 
@@ -134,8 +141,7 @@ def _prefixes(size: int, num: int, den: int, buckets: int, flush: int = 400_000)
             for doc, found in zip(ids.tolist(), shingle_sets(Tokens(*text_bytes(piece.column(1))), size), strict=True):
                 n = len(found)
                 x = sample_size(n, num, den)
-                spread = mix(found * U(0xC2B2AE3D27D4EB4F) + U(1))
-                about.append((doc, n, x, int(np.bitwise_xor.reduce(found)) if n else 0, int(spread.sum(dtype=U)) if n else 0))
+                about.append((doc, n, x, *_fingerprint(found), int(found[x - 1]) if x < n else (1 << 64) - 1))
                 posts.append((np.full(x, doc, np.int64), found[:x]))
                 count += x + 4
             if count >= flush:
@@ -166,99 +172,165 @@ def _count(homes: int):
     return run
 
 
+def choose_level(df: np.ndarray, need: int) -> tuple[int, int]:
+    """The l of a document and its prefix length, from the counts of its shared shingles, rarest first.
+
+    l takes the value of least estimated cost: postings scanned, and eight times as much for
+    each candidate that remains to be verified, postings over l times l being its estimate.
+    """
+    tries = np.arange(1, need + 1)
+    postings = np.cumsum(df.astype(np.int64) - 1)[len(df) - need + tries - 1]
+    level = int(tries[int((postings + 8.0 * postings / (tries * tries)).argmin())])
+    return level, len(df) - need + level
+
+
 def _judge(num: int, den: int):
-    """Per document: size, fingerprint, whether it may link, and the rarest shared shingles that it needs."""
+    """Per document: size, fingerprint, whether it may link, its sample's extent, its l, its prefix and all shared shingles, rarest first."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         blobs = table.column("data")
         info = np.concatenate([unpack(blobs[k].as_py(), ABOUT) for k in np.flatnonzero(kinds == INFO)] or [np.zeros(0, ABOUT)])
         post = np.concatenate([unpack(blobs[k].as_py(), SHARED) for k in np.flatnonzero(kinds == POST)] or [np.zeros(0, SHARED)])
+        info = info[np.lexsort((info["g"], info["f"], info["doc"]))]
         info = info[np.unique(info["doc"], return_index=True)[1]]
         post = post[np.lexsort((post["token"], post["df"], post["doc"]))]
         first = np.searchsorted(post["doc"], info["doc"])
         shared = np.searchsorted(post["doc"], info["doc"], side="right") - first
         need = must_share(info["n"].astype(np.int64), num, den)
         may = (info["n"] > 0) & (shared >= need)
-        take = np.where(may, shared - need + 1, 0)
+        level, prefix = np.zeros(len(info), np.int64), np.zeros(len(info), np.int64)
+        for k in np.flatnonzero(may).tolist():
+            level[k], prefix[k] = choose_level(post["df"][first[k] : first[k] + shared[k]], int(need[k]))
+        take = np.where(may, shared, 0)
         tokens = post["token"].view(np.int64)
         flat = np.concatenate([tokens[a : a + k] for a, k in zip(first.tolist(), take.tolist(), strict=True) if k] or [np.zeros(0, np.int64)])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(flat))
-        columns = [pa.array(info["doc"]), pa.array(info["n"].astype(np.int64)), pa.array(info["f"].view(np.int64)), pa.array(info["g"].view(np.int64)), pa.array(may), lists]
-        return pa.Table.from_arrays(columns, ["doc_id", "n_shingles", "f", "g", "may", "rare"])
+        numbers = [info["doc"], info["n"].astype(np.int64), info["f"].view(np.int64), info["g"].view(np.int64), may, info["x"].astype(np.int64), info["last"].view(np.int64), level, prefix]
+        return pa.Table.from_arrays([*map(pa.array, numbers), lists], JUDGED)
 
     return run
 
 
-# inside a component
-
+JUDGED = ["doc_id", "n_shingles", "f", "g", "may", "x", "last", "level", "prefix", "shared"]
+JUDGED_SCHEMA = "doc_id long, n_shingles long, f long, g long, may boolean, x long, last long, level long, prefix long, shared array<long>"
+
+
+# candidates of a task
+
+
+def shared_counts(token: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
+    """How many tokens each two of m owners share."""
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+    out = np.zeros((m, m), np.float32)
+    if len(token) < 2:
+        return out
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    sizes = np.diff(np.append(starts, len(token)))
+    small = np.repeat(sizes <= FEW, sizes)
+    few, own = token[small], owner[small]
+    for d in range(1, min(FEW, len(few))):
+        same = np.flatnonzero(few[d:] == few[:-d])
+        if not len(same):
+            break
+        out += np.bincount(own[same] * m + own[same + d], minlength=m * m).reshape(m, m).astype(np.float32)
+    out += out.T
+    group = np.cumsum(np.append(True, token[1:] != token[:-1]))[~small]
+    many = owner[~small]
+    names, group = np.unique(group, return_inverse=True)
+    for a in range(0, len(names), 4096):
+        mine = (group >= a) & (group < a + 4096)
+        has = np.zeros((m, min(4096, len(names) - a)), np.float32)
+        has[many[mine], group[mine] - a] = 1
+        out += has @ has.T
+    return out
 
-def adaptive_prefixes(sets: list[np.ndarray], num: int, den: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sets as ranks of rare shingles first, the l of each and its prefix length.
 
-    l takes the value of least estimated cost: postings scanned, and eight times as much for
-    each candidate that remains to be verified, postings over l times l being its estimate.
-    """
-    whole = np.concatenate(sets)
-    names, at, df = np.unique(whole, return_inverse=True, return_counts=True)
-    rank_of = np.empty(len(names), np.int64)
-    order = np.lexsort((names, df))
-    rank_of[order] = np.arange(len(names))
-    df_by_rank = df[order]
-    edges = np.cumsum([0, *map(len, sets)])
-    ranked, chosen, length = [], np.ones(len(sets), np.int64), np.ones(len(sets), np.int64)
-    for k in range(len(sets)):
-        r = np.sort(rank_of[at[edges[k] : edges[k + 1]]])
-        n = len(r)
-        need = _least(n, num, den)
-        most = max(1, min(_least(need, num, den), _longer(n) + 4))
-        scanned = np.cumsum(df_by_rank[r] - 1)
-        tries = np.arange(1, most + 1)
-        postings = scanned[np.minimum(n - need + tries, n) - 1]
-        cost = postings + 8.0 * postings / (tries * tries)
-        chosen[k] = tries[int(cost.argmin())]
-        length[k] = min(n, n - need + chosen[k])
-        ranked.append(r)
-    return ranked, chosen, length
-
-
-def linked(doc: np.ndarray, sets: list[np.ndarray], block: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets (across the two blocks, if there are two)."""
-    by = np.lexsort((doc, [len(s) for s in sets]))
-    doc, sets, block = doc[by], [sets[k] for k in by], block[by]
-    ranked, level, length = adaptive_prefixes(sets, num, den)
-    size = np.array([len(s) for s in sets])
-    two = len(np.unique(block)) > 1
-    parent = np.arange(len(sets))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = int(parent[k])
-        return k
-
-    postings: dict[int, list[int]] = {}
-    edges = []
-    for k in range(len(sets)):
-        mine = ranked[k][: length[k]].tolist()
-        lists = [p for t in mine if (p := postings.get(t))]
-        if lists:
-            seen, counts = np.unique(np.concatenate([np.asarray(p) for p in lists]), return_counts=True)
-            good = (counts >= np.minimum(level[seen], level[k])) & (size[seen] * den >= num * size[k])
+def candidates(n: np.ndarray, x: np.ndarray, last: np.ndarray, level: np.ndarray, prefix: np.ndarray, shared: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Pairs of places that may link, and the share of the sample that they have in common."""
+    m, sizes = len(n), np.array([len(s) for s in shared], np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    token = np.concatenate(shared) if m else np.zeros(0, np.int64)
+    in_prefix = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(prefix, sizes)
+    matched = shared_counts(token[in_prefix], owner[in_prefix], m)
+    a, b = np.nonzero(np.triu(matched >= np.minimum.outer(level, level), 1))
+    good = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
+    a, b = a[good], b[good]
+    both = shared_counts(token, owner, m)[a, b].astype(np.int64)
+    less = np.where(last[a] <= last[b], a, b)  # all of its sample is known of the other, too
+    good = (both + n[less] - x[less]) * (den + num) >= num * (n[a] + n[b])
+    return a[good], b[good], both[good] / np.maximum(x[less][good], 1)
+
+
+def forests(a: np.ndarray, b: np.ndarray, share: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs make up to ``most`` spanning forests, one after another, over groups of equal label; likely pairs first."""
+    taken = np.zeros(len(a), bool)
+    left = np.argsort(-share, kind="stable")
+    for _ in range(most):
+        if not len(left):
+            break
+        parent = {k: k for k in np.unique(label[np.concatenate([a[left], b[left]])]).tolist()}
+
+        def root(k: int) -> int:
+            while parent[k] != k:  # noqa: B023
+                parent[k] = parent[parent[k]]  # noqa: B023
+                k = parent[k]  # noqa: B023
+            return k
+
+        chosen = []
+        for place, p, q in zip(range(len(left)), label[a[left]].tolist(), label[b[left]].tolist(), strict=True):
+            u, v = root(p), root(q)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                chosen.append(place)
+        taken[left[chosen]] = True
+        left = np.delete(left, chosen)
+    return taken
+
+
+def _propose(num: int, den: int, most: int):
+    """Pairs to verify among the documents of a task: not connected, not tested before, and not of one block if there are two."""
+
+    def run(table: pa.Table, failed: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, component, block, label, n, x, level, prefix = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "label", "n_shingles", "x", "level", "prefix"))
+        last = table.column("last").to_numpy().view(U)
+        lists = table.column("shared").combine_chunks()
+        shared = [v.values.to_numpy(zero_copy_only=False) for v in lists]
+        by = np.lexsort((doc, component))
+        two = table.num_rows > 0 and len(np.unique(block)) > 1
+        tested = set(zip(failed.column("a").to_pylist(), failed.column("b").to_pylist(), strict=True))
+        out = [np.zeros((0, 3), np.int64)]
+        edges = np.flatnonzero(np.append(True, np.diff(component[by]) != 0)) if len(by) else np.zeros(0, int)
+        cuts, held = [], 0
+        for start, stop in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):  # whole components, as many as a block holds
+            if not cuts or stop - cuts[-1] > BLOCK:
+                cuts.append(start)
+            held = stop
+        for start, stop in zip(cuts, [*cuts[1:], held], strict=True):
+            k = by[start:stop]
+            a, b, share = candidates(n[k], x[k], last[k], level[k], prefix[k], [shared[i] for i in k], num, den)
+            good = label[k][a] != label[k][b]
             if two:
-                good &= block[seen] != block[k]
-            seen = seen[good][np.argsort(-counts[good], kind="stable")]
-            for other in seen.tolist():
-                a, b = root(k), root(other)
-                if a == b:
-                    continue
-                both = _overlap(ranked[k], ranked[other])
-                if den * both >= num * (size[k] + size[other] - both):
-                    parent[max(a, b)] = min(a, b)
-                    edges.append((int(doc[k]), int(doc[other])))
-        for t in mine:
-            postings.setdefault(t, []).append(k)
-    return edges
+                good &= block[k][a] != block[k][b]
+            if tested:
+                ids = doc[k]
+                good &= np.array([(min(p, q), max(p, q)) not in tested for p, q in zip(ids[a].tolist(), ids[b].tolist(), strict=True)], bool)
+            a, b, share = a[good], b[good], share[good]
+            taken = forests(a, b, share, label[k], most)
+            p, q = doc[k][a[taken]], doc[k][b[taken]]
+            out.append(np.stack([np.minimum(p, q), np.maximum(p, q), n[k][a[taken]] + n[k][b[taken]]], 1))
+        found = np.concatenate(out)
+        task = (table if table.num_rows else failed).column("task")[0].as_py()
+        return pa.table({"task": pa.array([task] * len(found), pa.string()), "a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "size": pa.array(found[:, 2])})
+
+    return run
+
+
+def _fingerprint(found: np.ndarray) -> tuple[int, int]:
+    """Exclusive or of the hashes, and the sum of other hashes: what tells sets apart."""
+    return (int(np.bitwise_xor.reduce(found)), int(mix(found * U(0xC2B2AE3D27D4EB4F) + U(1)).sum(dtype=U))) if len(found) else (0, 0)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -268,19 +340,22 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verify(size: int, num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
-        docs, blocks, sets = [], [], []
-        for batch in table.to_batches():
+    """Proposed pairs decided on the whole sets of their texts."""
+
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        for batch in texts.to_batches():
             for piece in pieces(iter([batch]), batch.schema.get_field_index("text")):
-                found = shingle_sets(Tokens(*text_bytes(piece.column("text"))), size)
-                docs.append(piece.column("doc_id").cast(pa.int64()).to_numpy())
-                blocks.append(piece.column("block").to_numpy())
-                sets += found
-        doc, block = np.concatenate(docs), np.concatenate(blocks)
-        once = np.unique(doc, return_index=True)[1]
-        edges = linked(doc[once], [sets[k] for k in once], block[once], num, den)
+                for doc, found in zip(piece.column("doc_id").to_pylist(), shingle_sets(Tokens(*text_bytes(piece.column("text"))), size), strict=True):
+                    if doc not in sets or _fingerprint(found) < _fingerprint(sets[doc]):
+                        sets[doc] = found
+        linked = []
+        for p, q in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = sets[p], sets[q]
+            both = _overlap(x, y)
+            linked.append(den * both >= num * (len(x) + len(y) - both))
         trim()
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+        return pa.table({"task": pairs.column("task"), "a": pairs.column("a"), "b": pairs.column("b"), "linked": pa.array(linked, pa.bool_())})
 
     return run
 
@@ -306,42 +381,78 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rows = rows.filter("doc_id IS NOT NULL")
     sent = rows.mapInArrow(_prefixes(size, num, den, buckets), SCHEMA)
     counted = cut(sent.groupBy("kind", "bucket").applyInArrow(_count(buckets), SCHEMA))
-    about = cut(counted.groupBy("bucket").applyInArrow(_judge(num, den), "doc_id long, n_shingles long, f long, g long, may boolean, rare array<long>"))
+    about = cut(counted.groupBy("bucket").applyInArrow(_judge(num, den), JUDGED_SCHEMA))
     alike = about.filter("may").groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("rep"))
-    reps = alike.join(about.select(F.col("doc_id").alias("rep"), "rare"), "rep").select("rep", "n_shingles", "rare")
-    posted = cut(reps.select("rep", "n_shingles", F.explode("rare").alias("token")))
+    reps = about.join(alike.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    posted = cut(reps.select(F.col("doc_id").alias("rep"), F.explode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("token")))
     least = posted.groupBy("token").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = posted.join(least, "token").select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-    guess = cut(components(pairs))
-    members = guess.join(posted.select(F.col("rep").alias("node"), "n_shingles").distinct(), "node")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = cut(sizes.filter(F.col("n") > BLOCK))
-    placed = _blocks(members, large, num, den)
-    met = rows.join(placed, "doc_id").select("doc_id", "text", "component", "block", "pair")
-    edges = cut(met.groupBy("component", "pair").applyInArrow(_verify(size, num, den), "a long, b long"))
-    linked_to = components(edges)
+    guess = components(pairs)
+    members = guess.withColumnRenamed("node", "doc_id").join(reps.drop("f", "g", "may"), "doc_id")
+    placed = cut(_tasks(members, buckets, num, den))
+    linked_to = _connect(rows, placed, size, num, den)
     member = about.filter("may").join(alike, ["n_shingles", "f", "g"]).select("doc_id", "rep")
     named = member.join(linked_to.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     got = about.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(nameless)
 
 
-def _blocks(members: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, component, block and pair: the tasks that a candidate goes to.
-
-    Components of up to ``BLOCK`` members are one task. Larger ones are cut by size of set
-    and hash into blocks; blocks meet in pairs if their classes of size can link.
+def _connect(rows: DataFrame, placed: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """node and component of all documents that verified pairs connect."""
+    none = placed.sparkSession.createDataFrame([], "task string, a long, b long, linked boolean")
+    tested, due, linked_to, most = none, placed, None, 1
+    while True:
+        label = F.col("doc_id") if linked_to is None else F.coalesce("to", "doc_id")
+        known = due if linked_to is None else due.join(linked_to.select(F.col("node").alias("doc_id"), F.col("component").alias("to")), "doc_id", "left")
+        known = known.withColumn("label", label).drop("to")
+        failed = tested.filter("NOT linked").select("task", "a", "b").join(due.select("task").distinct(), "task", "left_semi")
+        found = known.groupBy("task").cogroup(failed.groupBy("task")).applyInArrow(_propose(num, den, most), "task string, a long, b long, size long")
+        proposed = cut(found)
+        total = proposed.agg(F.sum("size")).first()[0]
+        if total is None:
+            return components(tested.filter("linked").select("a", "b")) if linked_to is None else linked_to
+        parts = max(parallelism(rows.sparkSession), total // VERIFY)
+        keyed = proposed.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(parts)))
+        asked = keyed.select(F.col("part").alias("home"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = rows.join(asked, "doc_id").select("home", "doc_id", "text")
+        decided = cut(texts.groupBy("home").cogroup(keyed.groupBy("part")).applyInArrow(_verify(size, num, den), "task string, a long, b long, linked boolean"))
+        tested = decided if linked_to is None else tested.unionByName(decided)
+        linked_to = cut(components(tested.filter("linked").select("a", "b")))
+        due = placed.join(decided.filter("NOT linked").select("task").distinct(), "task", "left_semi")
+        most *= 4
+        if due.isEmpty():
+            return linked_to
+
+
+def _tasks(members: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """``members`` with task and block: where the samples of a document meet those of others.
+
+    Components of up to ``BLOCK`` members share tasks. Larger ones are cut into classes of
+    size, in which the largest set is at most den / num times the smallest, and classes by hash
+    into blocks; blocks meet if their classes are equal or neighbours, as no others can link.
     """
-    known = members.select(F.col("node").alias("doc_id"), "component", "n_shingles")
+    kind = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(den / num)) - 1e-9) if num < den else F.col("n_shingles")
+    known = members.withColumn("class", kind.cast("long"))
+    sizes = known.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("component").agg(F.sum("n").alias("all"))
+    small = whole.filter(F.col("all") <= BLOCK)
+    count = small.agg(F.sum("all")).first()[0] or 0
+    shared = known.join(small.select("component"), "component", "left_semi").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(max(buckets, 4 * count // BLOCK))))).withColumn("block", F.lit(0).cast("long"))
+    large = sizes.join(whole.filter(F.col("all") > BLOCK).select("component"), "component", "left_semi").select("component", "class", F.ceil(F.col("n") / F.lit(BLOCK)).alias("parts"))
+    large = cut(large)
     if large.isEmpty():
-        return known.select("doc_id", "component", F.lit(0).cast("long").alias("block"), F.lit("").alias("pair"))
-    marked = known.join(large.select("component", F.ceil(F.col("n") / F.lit(BLOCK)).alias("parts")), "component", "left")
-    whole = marked.filter("parts IS NULL").select("doc_id", "component", F.lit(0).cast("long").alias("block"), F.lit("").alias("pair"))
-    some = marked.filter("parts IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    some = some.withColumn("other", F.explode(others))
-    pair = F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other"))
-    return whole.unionByName(some.select("doc_id", "component", "block", pair.alias("pair")))
+        return shared.drop("class")
+    own = known.join(large, ["component", "class"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    for step in (-1, 1):  # parts of the class below and of the class above
+        near = large.select("component", (F.col("class") - step).alias("class"), F.col("parts").alias(f"parts{step + 1}"))
+        own = own.join(near, ["component", "class"], "left")
+    parts = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
+    name = lambda c, p, c2, p2: F.concat_ws("/", F.lit("l"), F.col("component"), c, p, c2, p2)
+    same = F.transform(parts("parts"), lambda q: name(F.col("class"), F.least("part", q), F.col("class"), F.greatest("part", q)))
+    up = F.transform(parts("parts2"), lambda q: name(F.col("class"), F.col("part"), F.col("class") + 1, q))
+    down = F.transform(parts("parts0"), lambda q: name(F.col("class") - 1, q, F.col("class"), F.col("part")))
+    each = own.withColumn("block", F.xxhash64("class", "part")).withColumn("task", F.explode(F.concat(same, up, down)))
+    return shared.drop("class").unionByName(each.select(*[c for c in shared.columns if c != "class"]))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

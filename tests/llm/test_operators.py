@@ -82,7 +82,7 @@ def test_repeats_of_texts_that_share_an_id(spark):
 # near duplicates
 
 
-@pytest.mark.parametrize(("size", "num", "block"), [(3, 90, 6000), (5, 80, 6000), (3, 60, 4)])
+@pytest.mark.parametrize(("size", "num", "block"), [(3, 90, 512), (5, 80, 512), (3, 60, 4), (3, 90, 2)])
 def test_near_components(docs, texts, size, num, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(docs, size, num, 100).collect()}
