@@ -10,16 +10,19 @@ n - ceil(t n) + l shingles (AdaptJoin). The join uses this twice:
    done: nothing links with it.
 2. What is left is ordered by that count, and every document picks its own l: a longer prefix
    costs more postings, but asks for more shared shingles and so leaves fewer candidates; both
-   are estimated from the counts of its rarest shingles. Documents that share a prefix
-   shingle form candidate components.
+   are estimated from the counts of its rarest shingles. Sizes are cut into classes, in which
+   the largest set is at most den / num times the smallest, so that only sets of one class or
+   of two neighbouring ones can link. In each window of two classes, documents that share a
+   prefix shingle form candidate components.
 3. Samples, not texts, of a component meet: small components in shared tasks, large ones in
-   pairs of blocks of one or neighbouring classes of size, beyond which nothing can link. A
-   pair is a candidate if the prefixes share the smaller l of the two, and if the samples
-   share so many that the whole sets may link, as all of the sample with the smaller last
-   hash is known of both. Of the candidates a spanning forest is proposed.
+   pairs of blocks. A pair is a candidate if the prefixes share the smaller l of the two, and
+   if the samples share so many that the whole sets may link, as all of the sample with the
+   smaller last hash is known of both. All candidates are proposed where they are few for
+   their documents, else a spanning forest of them.
 4. Proposed pairs, each on its own, meet with their texts and are verified on the whole sets.
-   Where some fail, their tasks propose again among documents not connected yet, four times
-   as many forests in each round, until no candidate is left untested that could connect two.
+   Where some of a forest fail, its task proposes again among documents not connected yet,
+   four times as many forests in each round, until no candidate is left untested that could
+   connect two.
 
 Equal sets are one candidate, however many documents have them. Hashes have 64 bits.
 
@@ -35,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm._graph import components
-from basalt.llm._spark import cut, parallelism, pieces, short_batches, text_bytes, trim
+from basalt.llm._spark import cut, parallelism, pieces, short_batches, sweep, text_bytes, trim
 from basalt.llm._tokens import Tokens, U, mix
 
 #: The part of a set by which its first prefix is longer than one shared shingle needs.
@@ -48,6 +51,8 @@ SHARE = 10
 BLOCK, VERIFY = 512, 1 << 19
 #: Documents that share a shingle, up to which their pairs are listed; beyond, matrices count.
 FEW = 16
+#: Candidates of a document, in the mean of its task, up to which all are proposed at once.
+EACH = 8
 INFO, POST = 0, 1
 POSTING = np.dtype([("doc", "<i8"), ("token", "<u8")])
 SHARED = np.dtype([("doc", "<i8"), ("token", "<u8"), ("df", "<u4")])
@@ -290,18 +295,22 @@ def forests(a: np.ndarray, b: np.ndarray, share: np.ndarray, label: np.ndarray,
 
 
 def _propose(num: int, den: int, most: int):
-    """Pairs to verify among the documents of a task: not connected, not tested before, and not of one block if there are two."""
+    """Pairs to verify among the documents of a task: not connected, not tested before, and not of one block if there are two.
+
+    more: whether the task has other candidates.
+    """
 
     def run(table: pa.Table, failed: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         doc, component, block, label, n, x, level, prefix = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "label", "n_shingles", "x", "level", "prefix"))
+        upper = table.column("upper").to_numpy()
         last = table.column("last").to_numpy().view(U)
         lists = table.column("shared").combine_chunks()
         shared = [v.values.to_numpy(zero_copy_only=False) for v in lists]
         by = np.lexsort((doc, component))
         two = table.num_rows > 0 and len(np.unique(block)) > 1
         tested = set(zip(failed.column("a").to_pylist(), failed.column("b").to_pylist(), strict=True))
-        out = [np.zeros((0, 3), np.int64)]
+        out, more = [np.zeros((0, 3), np.int64)], False
         edges = np.flatnonzero(np.append(True, np.diff(component[by]) != 0)) if len(by) else np.zeros(0, int)
         cuts, held = [], 0
         for start, stop in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):  # whole components, as many as a block holds
@@ -311,19 +320,20 @@ def _propose(num: int, den: int, most: int):
         for start, stop in zip(cuts, [*cuts[1:], held], strict=True):
             k = by[start:stop]
             a, b, share = candidates(n[k], x[k], last[k], level[k], prefix[k], [shared[i] for i in k], num, den)
-            good = label[k][a] != label[k][b]
+            good = (label[k][a] != label[k][b]) & ~(upper[k][a] & upper[k][b])  # two of the upper class have a window of their own
             if two:
                 good &= block[k][a] != block[k][b]
             if tested:
                 ids = doc[k]
                 good &= np.array([(min(p, q), max(p, q)) not in tested for p, q in zip(ids[a].tolist(), ids[b].tolist(), strict=True)], bool)
             a, b, share = a[good], b[good], share[good]
-            taken = forests(a, b, share, label[k], most)
+            taken = np.ones(len(a), bool) if len(a) <= EACH * len(k) else forests(a, b, share, label[k], most)
+            more |= not taken.all()
             p, q = doc[k][a[taken]], doc[k][b[taken]]
             out.append(np.stack([np.minimum(p, q), np.maximum(p, q), n[k][a[taken]] + n[k][b[taken]]], 1))
         found = np.concatenate(out)
         task = (table if table.num_rows else failed).column("task")[0].as_py()
-        return pa.table({"task": pa.array([task] * len(found), pa.string()), "a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "size": pa.array(found[:, 2])})
+        return pa.table({"task": pa.array([task] * len(found), pa.string()), "a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "size": pa.array(found[:, 2]), "more": pa.array([more] * len(found), pa.bool_())})
 
     return run
 
@@ -355,7 +365,7 @@ def _verify(size: int, num: int, den: int):
             both = _overlap(x, y)
             linked.append(den * both >= num * (len(x) + len(y) - both))
         trim()
-        return pa.table({"task": pairs.column("task"), "a": pairs.column("a"), "b": pairs.column("b"), "linked": pa.array(linked, pa.bool_())})
+        return pa.table({"task": pairs.column("task"), "a": pairs.column("a"), "b": pairs.column("b"), "linked": pa.array(linked, pa.bool_()), "more": pairs.column("more")})
 
     return run
 
@@ -384,12 +394,15 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     about = cut(counted.groupBy("bucket").applyInArrow(_judge(num, den), JUDGED_SCHEMA))
     alike = about.filter("may").groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("rep"))
     reps = about.join(alike.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posted = cut(reps.select(F.col("doc_id").alias("rep"), F.explode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("token")))
-    least = posted.groupBy("token").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = posted.join(least, "token").select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-    guess = components(pairs)
-    members = guess.withColumnRenamed("node", "doc_id").join(reps.drop("f", "g", "may"), "doc_id")
-    placed = cut(_tasks(members, buckets, num, den))
+    known = reps.drop("f", "g", "may").withColumn("class", _class(F.col("n_shingles"), num, den))
+    token = F.explode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("token")
+    posted = cut(known.select("doc_id", "class", token)).withColumn("window", F.explode(F.array(F.col("class") - 1, F.col("class"))))
+    least = posted.groupBy("window", "token").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.min("class").alias("lowest"))
+    least = least.filter((F.col("n") > 1) & (F.col("lowest") == F.col("window"))).select("window", "token", "low")
+    pairs = posted.join(least, ["window", "token"]).filter("doc_id <> low").select(F.struct("window", "doc_id").alias("a"), F.struct("window", F.col("low").alias("doc_id")).alias("b"))
+    guess = components(pairs.distinct()).select(F.col("node.window").alias("window"), F.col("node.doc_id").alias("doc_id"), F.xxhash64("component").alias("component"))
+    members = guess.join(known, "doc_id").withColumn("upper", F.col("class") > F.col("window")).drop("class", "window")
+    placed = cut(_tasks(members, buckets))
     linked_to = _connect(rows, placed, size, num, den)
     member = about.filter("may").join(alike, ["n_shingles", "f", "g"]).select("doc_id", "rep")
     named = member.join(linked_to.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
@@ -399,14 +412,15 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
 def _connect(rows: DataFrame, placed: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """node and component of all documents that verified pairs connect."""
-    none = placed.sparkSession.createDataFrame([], "task string, a long, b long, linked boolean")
-    tested, due, linked_to, most = none, placed, None, 1
+    none = placed.sparkSession.createDataFrame([], "task string, a long, b long, linked boolean, more boolean")
+    tested, due, linked_to, open_tasks, most = none, placed, None, None, 1
     while True:
         label = F.col("doc_id") if linked_to is None else F.coalesce("to", "doc_id")
         known = due if linked_to is None else due.join(linked_to.select(F.col("node").alias("doc_id"), F.col("component").alias("to")), "doc_id", "left")
         known = known.withColumn("label", label).drop("to")
-        failed = tested.filter("NOT linked").select("task", "a", "b").join(due.select("task").distinct(), "task", "left_semi")
-        found = known.groupBy("task").cogroup(failed.groupBy("task")).applyInArrow(_propose(num, den, most), "task string, a long, b long, size long")
+        failed = tested.filter("NOT linked").select("task", "a", "b")
+        failed = failed if open_tasks is None else failed.join(open_tasks, "task", "left_semi")
+        found = known.groupBy("task").cogroup(failed.groupBy("task")).applyInArrow(_propose(num, den, most), "task string, a long, b long, size long, more boolean")
         proposed = cut(found)
         total = proposed.agg(F.sum("size")).first()[0]
         if total is None:
@@ -415,44 +429,37 @@ def _connect(rows: DataFrame, placed: DataFrame, size: int, num: int, den: int)
         keyed = proposed.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(parts)))
         asked = keyed.select(F.col("part").alias("home"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = rows.join(asked, "doc_id").select("home", "doc_id", "text")
-        decided = cut(texts.groupBy("home").cogroup(keyed.groupBy("part")).applyInArrow(_verify(size, num, den), "task string, a long, b long, linked boolean"))
+        decided = cut(texts.groupBy("home").cogroup(keyed.groupBy("part")).applyInArrow(_verify(size, num, den), "task string, a long, b long, linked boolean, more boolean"))
         tested = decided if linked_to is None else tested.unionByName(decided)
         linked_to = cut(components(tested.filter("linked").select("a", "b")))
-        due = placed.join(decided.filter("NOT linked").select("task").distinct(), "task", "left_semi")
-        most *= 4
-        if due.isEmpty():
+        open_tasks = cut(decided.filter("NOT linked AND more").select("task").distinct())
+        sweep(rows.sparkSession)
+        if open_tasks.isEmpty():
             return linked_to
+        due = placed.join(open_tasks, "task", "left_semi")
+        most *= 4
+
+
+def _class(n: Column, num: int, den: int) -> Column:
+    """A class of sizes; sizes that can link are in one or in neighbours."""
+    return (F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num)) - 1e-9) if num < den else n).cast("long")
 
 
-def _tasks(members: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+def _tasks(members: DataFrame, buckets: int) -> DataFrame:
     """``members`` with task and block: where the samples of a document meet those of others.
 
-    Components of up to ``BLOCK`` members share tasks. Larger ones are cut into classes of
-    size, in which the largest set is at most den / num times the smallest, and classes by hash
-    into blocks; blocks meet if their classes are equal or neighbours, as no others can link.
+    Components of up to ``BLOCK`` members share tasks. Larger ones are cut by hash into
+    blocks, which meet in pairs.
     """
-    kind = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(den / num)) - 1e-9) if num < den else F.col("n_shingles")
-    known = members.withColumn("class", kind.cast("long"))
-    sizes = known.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
-    whole = sizes.groupBy("component").agg(F.sum("n").alias("all"))
-    small = whole.filter(F.col("all") <= BLOCK)
-    count = small.agg(F.sum("all")).first()[0] or 0
-    shared = known.join(small.select("component"), "component", "left_semi").withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(max(buckets, 4 * count // BLOCK))))).withColumn("block", F.lit(0).cast("long"))
-    large = sizes.join(whole.filter(F.col("all") > BLOCK).select("component"), "component", "left_semi").select("component", "class", F.ceil(F.col("n") / F.lit(BLOCK)).alias("parts"))
-    large = cut(large)
-    if large.isEmpty():
-        return shared.drop("class")
-    own = known.join(large, ["component", "class"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    for step in (-1, 1):  # parts of the class below and of the class above
-        near = large.select("component", (F.col("class") - step).alias("class"), F.col("parts").alias(f"parts{step + 1}"))
-        own = own.join(near, ["component", "class"], "left")
-    parts = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
-    name = lambda c, p, c2, p2: F.concat_ws("/", F.lit("l"), F.col("component"), c, p, c2, p2)
-    same = F.transform(parts("parts"), lambda q: name(F.col("class"), F.least("part", q), F.col("class"), F.greatest("part", q)))
-    up = F.transform(parts("parts2"), lambda q: name(F.col("class"), F.col("part"), F.col("class") + 1, q))
-    down = F.transform(parts("parts0"), lambda q: name(F.col("class") - 1, q, F.col("class"), F.col("part")))
-    each = own.withColumn("block", F.xxhash64("class", "part")).withColumn("task", F.explode(F.concat(same, up, down)))
-    return shared.drop("class").unionByName(each.select(*[c for c in shared.columns if c != "class"]))
+    sizes = cut(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    count = sizes.filter(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
+    known = members.join(sizes.withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK))).drop("n"), "component")
+    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(max(buckets, 4 * count // BLOCK))))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    meet = lambda q: F.concat_ws("/", F.lit("l"), F.col("component"), F.least(block, q), F.greatest(block, q))
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), meet)
+    tasks = F.when(F.col("parts") == 1, F.array(shared)).otherwise(blocks)
+    return known.withColumn("block", F.when(F.col("parts") == 1, 0).otherwise(block)).withColumn("task", F.explode(tasks)).drop("parts")
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
