@@ -5,7 +5,7 @@ In any common order of shingles, sets that link share at least l of their first
 n - ceil(t n) + l shingles (AdaptJoin). The join uses this twice:
 
 1. Each text gives its first shingles in the order of their hashes, with l a tenth of the
-   set: a sample in which linked sets share as many. The shingles meet in buckets, which
+   set or more (short sets give all): a sample in which linked sets share as many. The shingles meet in buckets, which
    count in how many documents each occurs. A document that shares fewer than it must is
    done: nothing links with it.
 2. What is left is ordered by that count, and every document picks its own l: a longer prefix
@@ -47,6 +47,8 @@ from basalt.llm._tokens import Tokens, U, mix
 
 #: The part of a set by which its first prefix is longer than one shared shingle needs.
 SHARE = 10
+#: Sets of up to so many shingles are sampled whole, so that samples decide; of others this many at least are.
+WHOLE = 128
 #: Documents of a block; two blocks, or small components of as many, meet in one task. Shingles verified in one.
 BLOCK, VERIFY = 512, 1 << 19
 #: Documents that share a shingle, up to which their pairs are listed; beyond, matrices count.
@@ -90,15 +92,31 @@ def _longer(n):
     return -(-n // SHARE)
 
 
-def sample_size(n: int, num: int, den: int) -> int:
-    need = _least(n, num, den)
-    return min(n, n - need + max(1, _longer(n)))
+def sample_size(n, num: int, den: int):
+    """A tenth of the set more than what sets that link may lack of each other; ``WHOLE`` at least, or all."""
+    return np.minimum(n, np.maximum(WHOLE, n - _least(n, num, den) + np.maximum(1, _longer(n))))
 
 
-def must_share(n, num: int, den: int):
-    """Shingles that a set of n shares at least with a set it links with, both samples."""
-    least = _least(n, num, den)
-    return np.maximum(1, np.minimum(_longer(least), _least(least, num, den)))
+def must_share(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Shingles that a set of n shares at least with a set it links with, both samples.
+
+    All of the sample with the smaller last hash is known of both, and lacks at most what the
+    whole set may lack: the least of this over all sizes that can link. Sizes past ``edge``
+    have it at the smallest of them.
+    """
+
+    def known(m: np.ndarray) -> np.ndarray:
+        return np.maximum(1, sample_size(m, num, den) - m + _least(m, num, den))
+
+    if not len(n):
+        return n
+    edge = 2 * SHARE * WHOLE
+    out = np.where(_least(n, num, den) >= edge, known(_least(n, num, den)), 1)
+    near = np.flatnonzero(_least(n, num, den) < edge)
+    sizes = np.unique(n[near])
+    table = {int(m): int(known(np.arange(_least(int(m), num, den), int(m) * den // num + 1)).min()) if m else 1 for m in sizes}
+    out[near] = [table[int(m)] for m in n[near]]
+    return out
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -145,7 +163,7 @@ def _prefixes(size: int, num: int, den: int, buckets: int, flush: int = 400_000)
             ids = piece.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             for doc, found in zip(ids.tolist(), shingle_sets(Tokens(*text_bytes(piece.column(1))), size), strict=True):
                 n = len(found)
-                x = sample_size(n, num, den)
+                x = int(sample_size(n, num, den))
                 about.append((doc, n, x, *_fingerprint(found), int(found[x - 1]) if x < n else (1 << 64) - 1))
                 posts.append((np.full(x, doc, np.int64), found[:x]))
                 count += x + 4
