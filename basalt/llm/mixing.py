@@ -237,12 +237,12 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], dom
     return rates(soft, fit_rates(soft, model.domains, targets, total)), model.domains
 
 
-def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str, total: float | str | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as often as their rates say: the whole part of the rate, and one more if a hash of the id falls under the rest."""
+def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str, total: float | str | None = None, doc_id: str = "doc_id", least: int = 0) -> DataFrame:
+    """Rows of ``docs`` as often as their rates say: the whole part of the rate, and one more if a hash of the id falls under the rest, but ``least`` times at least."""
     wanted, _ = mix_rates(docs, labels, targets, domain, total)
     u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = wanted.groupBy("doc_id").agg(F.max("rate").alias("rate")).select(
-        F.col("doc_id").alias("__taken_id"), (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("__copies")
+        F.col("doc_id").alias("__taken_id"), F.greatest(F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long"), F.lit(least)).cast("int").alias("__copies")
     )
     met = docs.join(copies.filter("__copies > 0"), F.col(doc_id).eqNullSafe(F.col("__taken_id")))
     return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -60,7 +60,7 @@ def test_mixture_follows_the_rates(spark, kept):
     assert all(math.floor(rate[d].rate) <= got[d] <= math.ceil(rate[d].rate) for d in rate) and set(got) <= set(rate)
     tokens = {d: sum(r.n_tokens * r.rate * r.posterior[k] for r in rate.values()) for k, d in enumerate(domains)}
     assert tokens["q1"] / sum(tokens.values()) == pytest.approx(pipeline.TARGETS["q1"], abs=0.002)
-    assert len(got) >= 0.97 * len(rate)
+    assert set(got) == set(rate)
 
 
 def test_ids_are_the_library_s(kept):
