@@ -331,8 +331,8 @@ def test_attention_learns_from_every_text():
     sent = type("Sent", (), {"value": (subwords, lm_score.Attention().w)})
     stream = lambda texts: lm_score.Stream(*text_bytes(pa.array(texts)), subwords)
 
-    def fit(texts):
-        batches = [pa.record_batch([pa.array(texts[k : k + 50])], ["text"]) for k in range(0, len(texts), 50)]
+    def fit(texts, apart=None):
+        batches = [pa.record_batch([pa.array(texts[k : k + 50]), pa.array([t == apart for t in texts[k : k + 50]])], ["text", "apart"]) for k in range(0, len(texts), 50)]
         rows = [r for b in lm_score._count(sent, 3, 2)(iter(batches)) for r in b.to_pylist() if r["kind"] == lm_score.WEIGHTS]
         model = lm_score.Attention()
         windows, model.w = lm_score._whole([pickle.loads(r["data"]) for r in rows])
@@ -346,6 +346,44 @@ def test_attention_learns_from_every_text():
     without, within = many[1].score(s.x, s.y, s.row).mean(), fit(plain + odd)[1].score(s.x, s.y, s.row).mean()
     assert within > without + 0.5
     assert fit(["a"])[0] == 1  # shorter than a window
+    held = fit(plain + odd[:1], apart=odd[0])[1].score(s.x, s.y, s.row).mean()
+    assert held == pytest.approx(without, abs=0.05)  # texts apart move no weight
+
+
+def test_share_is_fitted_without_the_texts_own_counts():
+    """Against the best share of a grid, with pair probabilities of the other texts counted plainly."""
+    from collections import Counter
+
+    from basalt.llm._spark import text_bytes
+
+    subwords = lm_score.Subwords(lm_score.load_ranks(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+    r = random.Random(3)
+    lines = [" ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "green", "lamps"]) for _ in range(r.randrange(3, 30))) for _ in range(60)]
+    stream = lambda texts: lm_score.Stream(*text_bytes(pa.array(texts)), subwords)
+    others, apart = stream(lines[:45]), stream(lines[45:])
+    attention = lm_score.Attention().train(others.x, others.y, others.row, 30)
+    whole = stream(lines)
+    pairs, counts = np.unique(whole.x.astype(np.int64) * lm_score.VOCAB + whole.y, return_counts=True)
+    scorer = lm_score.Scorer(subwords, attention, pairs, counts).fit_share(apart)
+    seen = Counter(zip(others.x.tolist(), others.y.tolist()))
+    one, before, kinds = Counter(), Counter(), Counter()
+    for (x, y), n in seen.items():
+        one[y] += n
+        before[x] += n
+        kinds[x] += 1
+    total = sum(one.values()) + 0.5 * lm_score.VOCAB
+
+    def pair(x, y):
+        room = (kinds[x] + 1) / (before[x] + kinds[x] + 1)
+        return room * (one[y] + 0.5) / total + seen[x, y] / (before[x] + kinds[x] + 1)
+
+    a = np.exp(attention.score(apart.x, apart.y, apart.row).astype(float))
+    b = np.array([pair(x, y) for x, y in zip(apart.x.tolist(), apart.y.tolist())])
+    grid = np.linspace(0.02, 0.98, 97)
+    loss = [-np.log(g * a + (1 - g) * b).mean() for g in grid]
+    assert -np.log(scorer.share * a + (1 - scorer.share) * b).mean() <= min(loss) + 0.01
+    p = scorer.share * a + (1 - scorer.share) * scorer.pair_probability(apart.x, apart.y)
+    assert np.allclose(scorer.score(apart), np.bincount(apart.row, np.log10(p)), rtol=1e-3)
 
 
 def test_base_score(spark, texts, small):
