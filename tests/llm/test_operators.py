@@ -219,6 +219,40 @@ def test_maximal_segments(scores):
 
     got = [(a, b, s) for _, a, b, s in toxicity.segments(np.zeros(len(scores), int), np.array(scores, float))]
     assert sorted(s for *_, s in got) == pytest.approx(sorted(s for *_, s in split(0, len(scores))))
+    assert all(sum(scores[a : b + 1]) == pytest.approx(s) for a, b, s in got)
+    assert all(one[1] < two[0] for one, two in zip(got, got[1:], strict=False))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.floats(-5, 5).filter(bool), max_size=24, unique_by=abs))
+def test_places_of_maximal_segments(scores):
+    want = [(a, b) for a, b, _ in brute.segments(scores)]
+    got = [(a, b) for _, a, b, _ in toxicity.segments(np.zeros(len(scores), int), np.array(scores))]
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    apart = np.abs(sums[:, None] - sums[None, :])[np.triu_indices(len(sums), 1)]
+    if not len(apart) or apart.min() > 1e-6:  # without ties there is one answer
+        assert got == sorted(want)
+
+
+def test_toxicity_of_each_text_alone(spark, small, texts):
+    """The query over batches against one text at a time, its passages found by the definition."""
+    import math
+
+    from basalt.llm._spark import text_bytes
+    from basalt.llm._tokens import OTHER, Tokens
+
+    read = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
+    model = toxicity.learn(read("documents"), read("labels"), "toxic")
+    got = {r.doc_id: r for r in QUERIES["op9_toxicity"](spark, small).collect()}
+    assert len(got) == len(texts)
+    lam, k = model.law
+    a, b = model.curve
+    for d, text in texts:
+        scores = model.score_tokens(Tokens(*text_bytes(pa.array([text or ""])), OTHER, latin=True)).tolist()
+        found = brute.segments(scores)
+        evidence = math.log1p(sum(1 / max(k * len(scores) * math.exp(-lam * x), 1e-200) for *_, x in found))
+        assert got[d].score == pytest.approx(1 / (1 + math.exp(-(a + b * evidence))), rel=1e-6)
+        assert got[d].n_passages == len(found) and got[d].predicted == (got[d].score >= 0.3)
 
 
 def test_held_out_toxicity(spark):
@@ -233,9 +267,39 @@ def test_held_out_language(spark):
     assert rows.filter("lang_pred = lang").count() >= 0.97 * rows.count()
 
 
+def test_language_of_each_text_alone(spark, small, texts):
+    """The query against trigrams counted plainly and the cosine to every centroid in double precision."""
+    from basalt.llm import language_id
+
+    model = language_id.learn(spark.read.parquet(f"{small}/documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op10_language_id"](spark, small).collect()}
+    assert len(got) == len(texts)
+    centroids, idf = model.centroids.astype(float), model.idf.astype(float)
+    for d, text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        v = np.zeros(language_id.PLACES)
+        for place, n in brute.trigrams(text, language_id.PLACES).items():
+            v[place] = np.log1p(n) * idf[place]
+        cosine = centroids @ (v / max(np.linalg.norm(v), 1e-9))
+        assert got[d].score == pytest.approx(float(np.clip(cosine.max(), 0, 1)), abs=1e-4)
+        assert got[d].lang_pred in {model.langs[model.of[c]] for c in np.flatnonzero(cosine >= cosine.max() - 1e-4)}
+
+
 # mixing
 
 
+def test_shares_of_the_query(spark):
+    """Expected tokens of the domains, summed plainly from the rates that the query gives."""
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op1_mixing"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.rate >= 0 and sum(r.posterior) == pytest.approx(1, abs=1e-5) for r in rows)
+    share = np.sum([np.array(r.posterior) * r.n_tokens * r.rate for r in rows], 0)
+    assert sorted(share / share.sum()) == pytest.approx([0.04, 0.08, 0.18, 0.7], abs=2e-3)
+
+
 def test_rates_meet_targets(spark):
     r = np.random.default_rng(1)
     p = r.dirichlet([0.3, 0.3, 0.3], 400)
