@@ -6,12 +6,14 @@ frequency, of length one. Spherical k-means gives each language several centroid
 nearest by cosine names the language. A text further from its centroid than nearly all the
 rows that it was learned from is marked as rejected.
 
-All of the model comes from a bounded sample of labelled rows (``sample_rows``); applying it
-is one pass without a shuffle.
+All of the model comes from a bounded sample of labelled rows: ``sample_rows``, and ``least`` of
+each of the ``LANGS`` commonest languages, so that a rare one is learned as the table grows.
+Applying it is one pass without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language first in order, then to its first centroid; rows that repeat are treated alike; with
-nothing to learn from every text is ``und``; an empty table gives an empty result.
+nothing to learn from every text is ``und``; other columns are not read and don't come back; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from basalt.llm._tokens import LOWER, OTHER
 UND = "und"
 PLACES = 4096
 BLANK = 32
+#: Languages that are sure of a place in the sample.
+LANGS = 1000
 _NONLETTER = OTHER.copy()
 _NONLETTER[48:58] = True
 
@@ -133,14 +137,18 @@ def has_letters(texts: pa.Array) -> np.ndarray:
     return has
 
 
-def learn(docs: DataFrame, lang: str = "lang", sample_rows: int = 6000, doc_id: str = "doc_id", text: str = "text", mod: int | None = 4, rest: int = 2, **options) -> Model:
-    """Fit on about ``sample_rows`` rows at most, chosen by a hash of the id among rows with a language, outside the fold held out."""
+def learn(docs: DataFrame, lang: str = "lang", sample_rows: int = 6000, least: int = 50, doc_id: str = "doc_id", text: str = "text", mod: int | None = 4, rest: int = 2, **options) -> Model:
+    """Fit on rows with a language, outside the fold held out, chosen by a hash of the id: about ``sample_rows``, and about ``least`` of a language that has fewer among these."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND doc_id IS NOT NULL")
     if mod:
         rows = rows.filter(~fold("doc_id", mod, rest))
     there = rows.drop("text").count()
     if there > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < int(sample_rows / there * (1 << 20)))
+        share = sample_rows / there
+        many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+        wanted = many.select("lang", F.greatest(F.lit(share), F.lit(float(least)) / F.col("n")).alias("share"))
+        place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20))
+        rows = rows.join(F.broadcast(wanted), "lang", "left").filter(place < (F.coalesce("share", F.lit(share)) * (1 << 20)).cast("long")).select("doc_id", "lang", "text")
     got = rows.filter("text IS NOT NULL").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if got.num_rows else got
     texts = pa.chunked_array(got.column("text")).combine_chunks() if got.num_rows else pa.array([], pa.string())

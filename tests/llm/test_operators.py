@@ -267,6 +267,17 @@ def test_held_out_language(spark):
     assert rows.filter("lang_pred = lang").count() >= 0.97 * rows.count()
 
 
+def test_rare_languages_are_learned(spark):
+    from basalt.llm import language_id
+
+    rows = [(k, "aa", f"the cat sat on the mat {k}") for k in range(6000)] + [(k, "bb", f"zwölf boxkämpfer jagen viktor {k}") for k in range(6000, 6012)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.learn(table, sample_rows=300)
+    assert model.langs == ["aa", "bb"]
+    told = language_id.identify(table.filter("doc_id >= 6000"), model).select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in told] == ["bb"]
+
+
 def test_language_of_each_text_alone(spark, small, texts):
     """The query against trigrams counted plainly and the cosine to every centroid in double precision."""
     from basalt.llm import language_id
