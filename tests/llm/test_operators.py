@@ -395,6 +395,19 @@ def test_gradient():
         assert (up - down) / 2e-2 == pytest.approx(g[name][at], rel=0.05, abs=2e-4)
 
 
+def test_places_follow_rows_not_their_order():
+    r = np.random.default_rng(8)
+    hashes = np.concatenate([r.integers(-(1 << 62), 1 << 62, 500), np.full(300, 77), np.full(2, 77 + lm_score.Places.STRIDE), [-1, -1]])
+    one = lm_score.Places(3)
+    first = np.concatenate([one.of(hashes[:200]), one.of(hashes[200:])])
+    by = r.permutation(len(hashes))
+    again = lm_score.Places(3).of(hashes[by])
+    few = hashes < 0
+    assert len(set(first)) == len(hashes) and set(first) == set(again)
+    assert {h: set(first[hashes == h]) for h in hashes[few]} == {h: set(again[hashes[by] == h]) for h in hashes[few]}
+    assert not set(first) & set(lm_score.Places(4).of(hashes))
+
+
 def test_attention_learns_from_every_text():
     """Passes over partitions cover each place, and texts that no sample holds move the averaged weights."""
     import pickle
