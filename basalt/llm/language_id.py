@@ -11,7 +11,8 @@ each of the ``LANGS`` commonest languages, so that a rare one is learned as the
 Applying it is one pass without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the
-language first in order, then to its first centroid; rows that repeat are treated alike; with
+language first in order, then to its first centroid; rows that repeat are treated alike,
+and of an id that repeats with one language the least text is learned from; with
 nothing to learn from every text is ``und``; other columns are not read and don't come back; an
 empty table gives an empty result.
 """
@@ -149,7 +150,8 @@ def learn(docs: DataFrame, lang: str = "lang", sample_rows: int = 6000, least: i
         wanted = many.select("lang", F.greatest(F.lit(share), F.lit(float(least)) / F.col("n")).alias("share"))
         place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20))
         rows = rows.join(F.broadcast(wanted), "lang", "left").filter(place < (F.coalesce("share", F.lit(share)) * (1 << 20)).cast("long")).select("doc_id", "lang", "text")
-    got = rows.filter("text IS NOT NULL").toArrow()
+    # of an id that repeats with one language the least text, so that no id brings many rows
+    got = rows.filter("text IS NOT NULL").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", "text").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if got.num_rows else got
     texts = pa.chunked_array(got.column("text")).combine_chunks() if got.num_rows else pa.array([], pa.string())
     model = Model(**options).fit(texts, got.column("lang").to_pylist())

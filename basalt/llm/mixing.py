@@ -17,7 +17,7 @@ texts whose evidence comes from the other half of a bounded sample (``sample_row
 Defined cases: null counts as empty, has no tokens and any rate; a domain of the targets
 that no labelled row has is left out and the others' weights scaled up; domains without a
 target have target 0; without any labelled row all rates are 1; ids that repeat or are null
-are rows like others; an empty table gives an empty result.
+are rows like others, but of a labelled id that repeats only the least text is learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -132,7 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame, domain: str, sample_rows: int = 60
     there = chosen.count()
     if there > sample_rows:
         chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(sample_rows / there * (1 << 20)))
-    got = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()  # about sample_rows rows
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    got = rows.groupBy("doc_id", "domain").agg(F.min("text").alias("text")).toArrow()  # about sample_rows rows, however often an id repeats
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if got.num_rows else got
     texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
     model = Model().fit(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, got.column("domain").to_pylist())

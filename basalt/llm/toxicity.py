@@ -13,7 +13,7 @@ distinct contexts: a word counts once for each different word before it, a begin
 for each different word that it begins, so copies of a text don't count again and again. Scoring goes through the texts once, without a shuffle.
 
 Defined cases: null text counts as empty and has no passage; rows that repeat or tie are
-scored alike; without labelled rows of both kinds every text gets the share of the label 1
+scored alike, and of a labelled id that repeats the least text is learned from; without labelled rows of both kinds every text gets the share of the label 1
 (0 without any); an empty table gives an empty result.
 """
 
@@ -250,8 +250,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
     there = chosen.count()
     if there > sample_rows:
         chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(sample_rows / there * (1 << 20)))
-    # at most about sample_rows rows of two numbers
-    got = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow()
+    # at most about sample_rows rows of two numbers; of an id that repeats the least text, so that no id brings many rows
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    got = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").toArrow()
     got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")]) if got.num_rows else got
     texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
     return (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts), np.asarray(got.column("label").to_pylist())

@@ -148,6 +148,19 @@ def test_mixing(messy, none, labels):
     assert mixing.mix_rates(messy, labels.filter("false"), targets, "concat('q', quality)")[0].filter("rate <> 1").count() == 0
 
 
+def test_an_id_that_repeats_is_learned_once(spark):
+    """A third of all rows may share an id: what is learned doesn't change, and the driver gets one of them."""
+    rows = [(k, f"good plain words number {k}" if k % 2 else f"vile nasty words number {k}", "en" if k % 2 else "de") for k in range(80)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = few.unionByName(spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.lit("good plain words number 1").alias("text"), F.lit("en").alias("lang")))
+    labels = few.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic"), (F.col("doc_id") % 2).alias("quality"))
+    assert all(len(toxicity.labelled_sample(d, labels, "toxic", 6000, mod=None)[0]) == 80 for d in (few, many))
+    one, other = (mixing.learn(d, labels, "concat('q', quality)") for d in (few, many))
+    assert one.domains == other.domains == ["q0", "q1"] and (one.weights == other.weights).all() and (one.evidence == other.evidence).all()
+    told = [language_id.identify(few, language_id.learn(d)).orderBy("doc_id").collect() for d in (few, many)]
+    assert told[0] == told[1]
+
+
 def test_lm(messy, none):
     ranks = lm_score.load_ranks(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
     got = lm_score.score_documents(messy, ranks, steps=5).collect()
