@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions.zorder import normalised, sortable, zorder
 from basalt.operators.zonemap import BLOCK_ROWS, build_zone_map, with_blocks
+from basalt.sources.store import ObjectStore
 
 
 @dataclass
@@ -21,6 +23,14 @@ class WorkloadStats:
     def record(self, column: str, times: int = 1) -> None:
         self.hits[column] += times
 
+    def save(self, store: ObjectStore, key: str) -> None:
+        """Keep the hits, so that a later session clusters by the filters of all so far."""
+        store.put(key, json.dumps(self.hits).encode())
+
+    @classmethod
+    def load(cls, store: ObjectStore, key: str) -> "WorkloadStats":
+        return cls(Counter(json.loads(store.get(key)) if store.exists(key) else {}))
+
     def choose_keys(self, columns: list[str], most: int = 2) -> list[str]:
         """The columns of most hits; of equals the one that comes first in the table."""
         order = {c: i for i, c in enumerate(columns)}

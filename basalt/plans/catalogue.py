@@ -6,6 +6,7 @@ import contextlib
 import copy
 import decimal
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from basalt import session
 from basalt.functions.aggregates import exact_avg, stats, wrapping_sum
 from basalt.functions.predicates import Predicate, approx_eq, date_from_days
 from basalt.functions.zorder import normalised, zorder
-from basalt.operators.cluster import WorkloadStats, clustering_quality, recluster
+from basalt.operators.cluster import WorkloadStats, clustering_quality, key_bits, recluster
 from basalt.operators.relational import aggregate_rows, filter_rows, join_rows, project, top_n
 from basalt.operators.zonemap import build_zone_map, prune_counts, pruned_scan, with_blocks
 from basalt.plans.cost import JoinChoice, choose_join
@@ -309,20 +310,39 @@ def recluster_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("s"))
 
 
-@query()
+HITS = {"l_orderkey": 40, "l_suppkey": 12}
+
+
+def _clustered_sql(hits: dict[str, int]) -> str:
+    """The sort key of a reclustered lineitem in SQL: each bit of the key from the column that it belongs to."""
+    unit = "LEAST(CAST(floor(CAST({0} - lo{1} AS DOUBLE) * (4294967295.0::DOUBLE / (hi{1} - lo{1}))) AS BIGINT), 4294967295) AS u{1}"
+    ends = ", ".join(f"MIN({c}) AS lo{k}, MAX({c}) AS hi{k}" for k, c in enumerate(hits))
+    order, used, bits = key_bits(list(hits.values())), [0] * len(hits), []
+    for place, k in enumerate(order):
+        used[k] += 1
+        bits.append(f"(((u{k} >> {32 - used[k]}) & 1) << {len(order) - 1 - place})")
+    return f"SELECT *, {' | '.join(bits)} AS z FROM (SELECT *, {', '.join(unit.format(c, k) for k, c in enumerate(hits))} FROM lineitem CROSS JOIN (SELECT {ends} FROM lineitem) e) t"
+
+
+_LAYOUTS = f"""WITH a AS (SELECT 'before' AS layout, floor((ROW_NUMBER() OVER (ORDER BY {', '.join(RANDOM)}) - 1) / 4096) AS blk, l_orderkey AS k FROM lineitem
+  UNION ALL SELECT 'after', floor((ROW_NUMBER() OVER (ORDER BY z, l_orderkey, l_suppkey, l_partkey, l_linenumber) - 1) / 4096), l_orderkey FROM ({_clustered_sql(HITS)}) c),
+  g AS (SELECT MIN(l_orderkey) AS gmn, MAX(l_orderkey) AS gmx, CAST(floor(MAX(l_orderkey) * 0.95::DOUBLE) AS BIGINT) AS v FROM lineitem),
+  b AS (SELECT layout, blk, MIN(k) AS mn, MAX(k) AS mx FROM a GROUP BY layout, blk)"""
+
+
+@query(_LAYOUTS + """ SELECT layout, COUNT(*) AS blocks, COUNT(*) FILTER (WHERE mx <= v) AS pruned, ROUND(CAST(SUM(mx - mn) AS DOUBLE) / GREATEST(MAX(gmx - gmn), 1) / COUNT(*), 9) AS quality
+  FROM b CROSS JOIN g GROUP BY layout""")
 def recluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that a filter on the hottest key skips, before and after reclustering, and the mean width of block ranges."""
     rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
-    stats_ = WorkloadStats()
-    stats_.record("l_orderkey", 40)
-    stats_.record("l_suppkey", 12)
+    stats_ = WorkloadStats(Counter(HITS))
     high = rows.agg(F.max("l_orderkey")).first()[0]
     before = build_zone_map(with_blocks(rows, RANDOM, 4096), "block", ["l_orderkey"])
     _, after, _ = recluster(rows, stats_, 4096)
     parts = []
     for name, zones in (("before", before), ("after", after)):
         counts = prune_counts(zones, "l_orderkey", int(high * 0.95)).select("blocks", F.col("pruned_gt").alias("pruned"))
-        parts.append(counts.crossJoin(clustering_quality(zones, "l_orderkey")).select(F.lit(name).alias("layout"), "blocks", "pruned", "quality"))
+        parts.append(counts.crossJoin(clustering_quality(zones, "l_orderkey")).select(F.lit(name).alias("layout"), "blocks", "pruned", F.round("quality", 9).alias("quality")))
     return parts[0].unionByName(parts[1])
 
 

@@ -12,6 +12,7 @@ from basalt.functions.predicates import OPS, Predicate
 from basalt.operators.cluster import WorkloadStats, clustering_quality, key_bits, recluster, write_clustered
 from basalt.operators.relational import aggregate_rows, join_rows
 from basalt.operators.zonemap import build_zone_map, file_zone_map, prune_counts, pruned_files, pruned_scan, surviving, with_blocks
+from basalt.plans import dialect
 from basalt.plans.cost import JoinChoice
 from basalt.plans.dialect import DialectError
 from basalt.plans.engine import Engine, render
@@ -19,7 +20,7 @@ from basalt.sources.catalog import Catalog, Conflict, Fenced
 from basalt.sources.store import ObjectStore
 from basalt.sources.table import Table
 from basalt.streaming.epochs import FileLog, MemoryLog, MemoryOffsets, Sizer, StoredOffsets, drain_to_table, run_epoch, run_until_caught_up, table_sink
-from basalt.streaming.log_source import LogSource
+from basalt.streaming.log_source import LineIndex, LogReader, LogSource
 
 
 @pytest.fixture
@@ -140,6 +141,8 @@ def test_planner(spark, readings):
     assert "files pruned 5 of 8" in said and "broadcast" in said and "BroadcastHashJoin" in said and "TopN 2" in said
     got = engine.sql(text, strict=True)
     assert got.columns == ["site", "MAX(level)", "COUNT(*)"] and got.count() == 2
+    marks = engine.plan(dialect.parse(text)).timeline
+    assert [m[1] for m in marks] == ["names bound", "x planned", "p planned", "join chosen", "planned"] and sorted(marks) == marks
     assert engine.stats.choose_keys(readings.schema.names) == ["second"]
     assert engine.sql("SELECT COUNT(*) AS n FROM readings LEFT JOIN probes ON probe = probes.id").first().n == 4000
     assert "site" in render(got)
@@ -195,6 +198,18 @@ def test_zones_of_dates_and_texts(spark):
         assert pruned_scan(laid, zones, "block", Predicate(column, "<", value)).count() == n
 
 
+def test_hits_outlive_a_session(spark, readings, tmp_path):
+    store = ObjectStore(spark, str(tmp_path / "s"))
+    engine = Engine(spark, WorkloadStats.load(store, "hits.json"))
+    engine.register("readings", readings)
+    engine.sql("SELECT id FROM readings WHERE level > 3 AND second < 9", strict=True)
+    engine.sql("SELECT id FROM readings WHERE level > 5", strict=True)
+    engine.stats.save(store, "hits.json")
+    later = Engine(spark, WorkloadStats.load(store, "hits.json"))
+    later.stats.record("second", 3)
+    assert later.stats.hits == {"level": 2, "second": 4} and later.stats.choose_keys(readings.schema.names) == ["second", "level"]
+
+
 def test_bits_follow_hits():
     assert key_bits([1, 1], 6) == [0, 1, 0, 1, 0, 1] and key_bits([3, 1], 8) == [0, 0, 0, 1, 0, 0, 0, 1] and sorted(key_bits([5, 1])).count(0) == 32
 
@@ -274,3 +289,22 @@ def test_structured_streaming_source_and_sink(spark, tmp_path):
         f.write('{"key": 60, "value": 1}\n')
     drain_to_table(source(), table, "s", str(tmp_path / "c"))
     assert table.scan().count() == 161 and table.scan().filter("partition = 1").agg(F.max("offset")).first()[0] == 60
+
+
+def test_a_log_is_read_from_where_it_was_left(tmp_path):
+    path = tmp_path / "0.jsonl"
+    line = lambda k: json.dumps({"key": k, "value": "é" * k}, ensure_ascii=False) + "\n"
+    path.write_text("".join(map(line, range(25))) + line(25)[:7], encoding="utf-8")
+    reader = LogReader(str(tmp_path), 10)
+    assert reader.latestOffset() == {"0": 25}  # the last line isn't whole yet
+    with path.open("a", encoding="utf-8") as f:
+        f.write(line(25)[7:] + line(26))
+    read = []
+    opened = LineIndex(10)
+    assert opened.extend(str(path)) == 27 and opened.before(26) == (20, len("".join(map(line, range(20))).encode()))
+    assert reader.latestOffset() == {"0": 27} and reader.files[0].starts == opened.starts
+    for unit in reader.partitions({"0": 7}, {"0": 27}):
+        assert unit.start - unit.line < 10
+        read += [r[1:3] for r in reader.read(unit)]
+    assert read == [(k, k) for k in range(7, 27)]
+    assert [r[1] for u in LogReader(str(tmp_path), 10).partitions({"0": 13}, {"0": 15}) for r in reader.read(u)] == [13, 14]
