@@ -99,14 +99,53 @@ def _joined(parts: list[dict[str, np.ndarray]], *names: str) -> list[np.ndarray]
 
 
 def _rank(sorted_values: np.ndarray) -> np.ndarray:
-    return np.arange(len(sorted_values)) - np.searchsorted(sorted_values, sorted_values)
+    place = np.arange(len(sorted_values))
+    new = np.append(True, sorted_values[1:] != sorted_values[:-1])[: len(place)]
+    return place - np.maximum.accumulate(np.where(new, place, 0))
+
+
+def _grouped(at: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers: those of 16 bits are dealt, not compared."""
+    return np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+
+
+def _ordered(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Order by two whole numbers, neither under 0; as one, where both fit into 63 bits, for that sorts much faster."""
+    if not len(high):
+        return np.zeros(0, np.int64)
+    bits = int(low.max()).bit_length()
+    if int(high.max()).bit_length() + bits > 63:
+        return np.lexsort((low, high))
+    return np.argsort((high.astype(np.int64) << bits) | low)
+
+
+def _distinct(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places of the distinct pairs, in their order."""
+    by = _ordered(high, low)
+    return by[np.append(True, (np.diff(high[by]) != 0) | (np.diff(low[by]) != 0))[: len(by)]]
+
+
+def _falling(score: np.ndarray) -> np.ndarray:
+    """Stable order of scores, largest first."""
+    if score.dtype != np.float32:
+        return np.argsort(-score, kind="stable")
+    bits = (score + np.float32(0)).view(np.int32).astype(np.int64)  # -0 is 0
+    key = np.where(bits < 0, bits & 0x7FFFFFFF, -1 - bits) << 31
+    return np.sort(key + np.arange(len(score))) & ((1 << 31) - 1)
+
+
+def _nearest_first(at: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Stable order by owner, then the largest score."""
+    by = _falling(score)
+    return by[_grouped(at[by])]
 
 
 def _best(at: np.ndarray, other: np.ndarray, score: np.ndarray, flag: np.ndarray, n: int, k: int, *more: np.ndarray) -> list[np.ndarray]:
     """The k nearest others of each of n nodes: ids (-1: none), scores and flags (the least of an edge given twice), and so on."""
-    by = np.lexsort((flag, other, at))
+    by = _ordered(other, flag)
+    by = by[_grouped(at[by])]
     by = by[np.append(True, (np.diff(at[by]) != 0) | (np.diff(other[by]) != 0))[: len(by)]]
-    by = by[np.lexsort((other[by], -score[by], at[by]))]
+    by = by[_nearest_first(at[by], score[by])]
     rank = _rank(at[by])
     by, rank = by[rank < k], rank[rank < k]
     out = []
@@ -219,7 +258,9 @@ def _update(k: int, picks: int, longest: float) -> Callable:
         flag[picked] = PICKED
         has = (ids >= 0) & (flag != NEW)
         here, there, on = np.repeat(np.arange(len(own)), has.sum(1)), ids[has], flag[has]
-        by = np.lexsort((here, -scores[has], on == OLD, there))
+        by = _falling(scores[has])  # here ascends already
+        by = by[_grouped((on == OLD)[by])]
+        by = by[np.argsort(there[by], kind="stable")]
         by = by[_rank(there[by]) < 2 * k]  # for a node that very many have as neighbour
         back = _deal(REVERSE, there[by], member=here[by] + (b << SHIFT), flag=on[by])
         return _table([_row(b, STATE, fresh, ids=ids, scores=scores, flag=flag), *back])
@@ -235,13 +276,15 @@ def _both_ways(got: dict[int, list[dict[str, np.ndarray]]], new: int, old: int)
     if REVERSE in got:
         a, m, f = _joined(got[REVERSE], "at", "member", "flag")
         at, member, flag = np.concatenate([at, a]), np.concatenate([member, m]), np.concatenate([flag, f])
-    by = np.lexsort((flag == OLD, member, at))
+    by = _ordered(member, flag == OLD)
+    by = by[_grouped(at[by])]
     by = by[np.append(True, (np.diff(at[by]) != 0) | (np.diff(member[by]) != 0))[: len(by)]]
     at, member, fresh = at[by], member[by], flag[by] == PICKED
     out = []
     for wanted, most in ((fresh, new), (~fresh, old)):
         a, m = at[wanted], member[wanted]
-        by = np.lexsort((mix(m.view(U) * U(31) + a.astype(U)), a))
+        by = np.argsort(mix(m.view(U) * U(31) + a.astype(U)))
+        by = by[_grouped(a[by])]
         a, m = a[by], m[by]
         rank = _rank(a)
         table = np.full((len(has), most), -1, np.int64)
@@ -284,9 +327,9 @@ def _send(longest: float) -> Callable:
 def _first(k: int, held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Of pairs of owner, other and score: the k best of each owner; no more can enter its list."""
     owner, other, score = (np.concatenate(v) for v in zip(*held, strict=True))
-    by = np.lexsort((other, owner))
-    by = by[np.append(True, (np.diff(owner[by]) != 0) | (np.diff(other[by]) != 0))[: len(by)]]
-    by = by[np.lexsort((other[by], -score[by], owner[by]))]
+    by = _distinct(owner, other)
+    by = by[_falling(score[by])]
+    by = by[np.argsort(owner[by], kind="stable")]
     by = by[_rank(owner[by]) < k]
     return owner[by], other[by], score[by]
 
@@ -300,24 +343,31 @@ def _compare(k: int, longest: float) -> Callable:
         local = np.arange(len(own)) + np.int64(b << SHIFT)
         ids, x, worst = (np.concatenate(v) for v in zip((local, _lift(own, longest), got[STATE][0]["scores"][:, -1]), *([s["ids"], s["x"], s["worst"]] for s in got.get(SENT, [])), strict=True))
         by = np.argsort(ids)
-        ids, x, worst = ids[by], x[by], worst[by]
+        # the last stands for no member: its products are no numbers, which exceed nothing
+        ids, x, worst = ids[by], np.append(x[by], np.full((1, x.shape[1]), np.nan, x.dtype), 0), np.append(worst[by], np.float32(np.inf))
         n_new = lists["new"].shape[1]
+        # members by their places, which are small numbers in the order of ids
+        every = np.concatenate([lists["new"], lists["old"]], 1)
+        every = np.where(every >= 0, np.searchsorted(ids, np.maximum(every, ids[0])), len(ids))
         held, count = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0
-        for a in range(0, len(lists["new"]), 128):
-            m = np.concatenate([lists["new"][a : a + 128], lists["old"][a : a + 128]], 1)
-            place = np.where(m >= 0, np.searchsorted(ids, np.maximum(m, ids[0])), 0)
-            y = x[place]
+        for a in range(0, len(every), 128):
+            m = every[a : a + 128]
+            y, least = x[m], worst[m]
             near = y[:, :n_new] @ y.transpose(0, 2, 1)  # new members by all members
-            pair = (m[:, :n_new, None] >= 0) & (m[:, None, :] >= 0) & (m[:, :n_new, None] != m[:, None, :])
-            at = np.nonzero(pair & (near > worst[place][:, :n_new, None]))
-            held.append((m[at[0], at[1]], m[at[0], at[2]], near[at]))
-            pair[:, :, :n_new] = False  # two new members have met both ways
-            at = np.nonzero(pair & (near > worst[place][:, None, :]))
-            held.append((m[at[0], at[2]], m[at[0], at[1]], near[at]))
+            near[:, np.arange(n_new), np.arange(n_new)] = -np.inf
+            at = np.flatnonzero(near > least[:, :n_new, None])
+            line, j = np.divmod(at, m.shape[1])
+            n, i = np.divmod(line, n_new)
+            held.append((m[n, i], m[n, j], near.ravel()[at]))
+            # two new members have met both ways
+            line, j = np.divmod(np.flatnonzero(near[:, :, n_new:] > least[:, None, n_new:]), m.shape[1] - n_new)
+            n, i = np.divmod(line, n_new)
+            held.append((m[n, n_new + j], m[n, i], near[n, i, n_new + j]))
             count += len(held[-1][0]) + len(held[-2][0])
             if count > 1 << 20:
                 held, count = [_first(k, held)], 0
         owner, other, score = _first(k, held)
+        owner, other = ids[owner], ids[other]
         return pa.concat_tables([_only(table, STATE), _table(_deal(FOUND, owner, other=other, score=score))])
 
     return run
@@ -569,8 +619,7 @@ def _visit(table: pa.Table) -> pa.Table:
         for ask in got[VISIT]:
             met = lists[ask["place"]]
             row, member = np.repeat(ask["row"], met.shape[1])[met.ravel() >= 0], met[met >= 0]
-            by = np.lexsort((member, row))
-            by = by[np.append(True, (np.diff(row[by]) != 0) | (np.diff(member[by]) != 0))[: len(by)]]
+            by = _distinct(row, member)
             rows += _ask(SCORE, row[by], member[by], ask["query"], ask["x"], ask["least"])
     return pa.concat_tables([_only(table, QUERY), _table(rows)])
 
