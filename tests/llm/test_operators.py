@@ -474,6 +474,31 @@ def test_share_is_fitted_without_the_texts_own_counts():
     assert np.allclose(scorer.score(apart), np.bincount(apart.row, np.log10(p)), rtol=1e-3)
 
 
+def test_share_comes_from_all_texts_that_waited():
+    """However many there are; and the weights learn from them afterwards."""
+    import pickle
+
+    subwords = lm_score.Subwords(lm_score.load_ranks(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+    r = random.Random(5)
+    lines = [" ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "green", "lamps"]) for _ in range(r.randrange(3, 30))) for _ in range(900)]
+    stream = lm_score.Stream(*lm_score.text_bytes(pa.array(lines)), subwords)
+    pairs, counts = np.unique(stream.x.astype(np.int64) * lm_score.VOCAB + stream.y, return_counts=True)
+    attention = lm_score.Attention()
+    attention.ready()
+    scorer = lm_score.Scorer(subwords, attention, pairs, counts)
+    before = attention.score(stream.x, stream.y, stream.row).mean()
+    sent = type("Sent", (), {"value": scorer})
+    ratios, weights = np.zeros(lm_score.BINS, int), []
+    for part in (lines[:400], lines[400:]):  # two partitions
+        rows = [x for b in lm_score._settle(sent, 2)(iter([pa.record_batch([pa.array(part)], ["text"])])) for x in b.to_pylist()]
+        ratios += sum(pickle.loads(x["data"]) for x in rows if x["kind"] == lm_score.RATIOS)
+        weights += [pickle.loads(x["data"]) for x in rows if x["kind"] == lm_score.WEIGHTS]
+    assert ratios.sum() == len(stream.y)
+    attention.w = lm_score._whole(weights)[1]
+    attention.ready()
+    assert attention.score(stream.x, stream.y, stream.row).mean() > before
+
+
 def test_base_score(spark, texts, small):
     import math
     import zlib
