@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from basalt.llm import chat_format, lm_score, mixing, ngram_join, sentencepieces, suffix_dedup, toxicity
+from basalt.llm import _graph, chat_format, lm_score, mixing, ngram_join, sentencepieces, suffix_dedup, toxicity
 from basalt.llm._graph import components
 from basalt.llm.queries import QUERIES, TOKENIZERS
 
@@ -117,6 +117,66 @@ def test_components(spark):
     assert all(got.get(x, x) == root(x) for x in parent)
 
 
+def some_links():
+    """Links of pairs of numbers: stars, a chain in no order, a ring, loops and doubles; and each node's smallest."""
+    r = random.Random(3)
+    chain = r.sample(range(1000, 1400), 400)
+    links = [(0, k) for k in range(1, 60)] + [(999, k) for k in range(70, 130)] + list(zip(chain, chain[1:], strict=False)) + [(k, 2000 + (k + 1) % 50) for k in range(2000, 2050)]
+    links = [((-1, a), (-1, b)) for a, b in links * 2] + [((7, 5), (-1, 65)), ((7, 5), (2, 9)), ((3, 3), (3, 3))]
+    r.shuffle(links)
+    nodes = sorted({x for ab in links if ab[0] != ab[1] for x in ab})
+    at = {x: k for k, x in enumerate(nodes)}
+    least = list(range(len(nodes)))
+    for _ in nodes:
+        was = list(least)
+        for a, b in links:
+            if a != b:
+                least[at[a]] = least[at[b]] = min(least[at[a]], least[at[b]])
+        if was == least:
+            break
+    return links, {x: nodes[least[k]] for x, k in at.items()}
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_components_of_structs(spark, monkeypatch, most, tasks):
+    """In one task where links are few, by rounds where they aren't: the same, and nodes come once."""
+    monkeypatch.setattr(_graph, "TASK", most)
+    links, want = some_links()
+    kind = "struct<window: long, doc_id: long>"
+    rows = components(spark.createDataFrame(links, f"a {kind}, b {kind}").repartition(tasks)).collect()
+    assert {tuple(r.node): tuple(r.component) for r in rows} == want and len(rows) == len(want)
+    assert components(spark.createDataFrame([], f"a {kind}, b {kind}")).count() == 0
+
+
+def test_few_links_need_no_rounds(spark):
+    """However long a chain: each round was a dozen shuffles, whose files waited for the driver's collector."""
+    sc, r = spark.sparkContext, random.Random(4)
+    chain = r.sample(range(3000), 3000)
+    links = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long").repartition(5).cache()
+    assert links.count() == 2999
+    sc.setJobGroup("few-links", "components of few links")
+    try:
+        found = components(links)
+    finally:
+        sc._jsc.clearJobGroup()
+    track = sc.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("few-links") for s in track.getJobInfo(j).stageIds}
+    assert {r.component for r in found.collect()} == {0} and found.count() == 3000
+    assert 1 <= len(stages) <= 8
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
+def test_least_reachable(links):
+    a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
+    want = list(range(31))
+    for _ in want:
+        for p, q in links:
+            want[p] = want[q] = min(want[p], want[q])
+    assert _graph.least_reachable(a, b, 31).tolist() == want
+
+
 # pieces
 
 
