@@ -194,7 +194,10 @@ class Table:
         for f in kept:
             bounds += [F.lit(f["id"]), F.struct(F.col(f"lo{f['id']}").alias("low"), F.col(f"hi{f['id']}").alias("high"))]
         seen = files.withColumn("__f", F.col("_metadata.file_path")).withColumn("__s", F.col("_metadata.file_size"))
-        per_file = seen.groupBy("__f", "__s").agg(F.count(F.lit(1)).alias("record_count"), *made)
+        # for texts alone Spark would sort all rows of a task by file; with a set, here of the file's one size, it keeps objects by hash
+        text = any(isinstance(_type(f["type"]), T.StringType) for f in kept)
+        size = F.collect_set("__s")[0] if text else F.max("__s")
+        per_file = seen.groupBy("__f").agg(F.count(F.lit(1)).alias("record_count"), size.alias("__s"), *made)
         empty = F.create_map().cast(f"map<int,{BOUND}>")
         return per_file.select(
             F.lit(snapshot_id).cast("long").alias("snapshot_id"), F.lit(sequence).cast("long").alias("sequence_number"), F.lit(ADDED).alias("status"),

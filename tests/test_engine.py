@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import json
+import os
 import random
 
 import pytest
@@ -120,6 +121,32 @@ def test_catalog_fences_a_table(spark, tmp_path):
         Table.create(spark, str(tmp_path / "t"), spark.range(1).schema, catalog, "levels", epoch=2)
 
 
+@pytest.mark.parametrize("most", ["128", "2"])
+def test_bounds_of_texts_sort_no_rows(spark, tmp_path, monkeypatch, most):
+    """The manifest of a table with texts, also where a task reads more files than it keeps by hash, and how it is made."""
+    name = F.when(F.col("id") % 7 > 0, F.concat(F.lit("né"), F.col("id") * 37 % 1000))
+    rows = spark.range(0, 3000, 1, 10).select("id", name.alias("name"), F.lit(None).cast("string").alias("none"), F.when(F.col("id") % 900 == 5, float("nan")).otherwise(F.col("id") / 4).alias("x"))
+    table = Table.create(spark, str(tmp_path / "t"), rows.schema)
+    entries, made = Table._entries, []
+    monkeypatch.setattr(Table, "_entries", lambda self, *a: made.append(entries(self, *a)) or made[-1])
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", most)
+    try:
+        table.append(rows)
+    finally:
+        spark.conf.unset("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    assert "Sort" not in made[0]._jdf.queryExecution().executedPlan().toString()
+    got, want = {}, {}
+    for r in table.manifest().collect():
+        low, high = ({k: b[side] for k, b in r.bounds.items()} for side in ("low", "high"))
+        assert r.file_size == os.path.getsize(r.file_path.removeprefix("file:"))
+        got[int(low[1])] = (r.record_count, high[1], low[2], high[2], low[3], high[3], high[4])
+    for start in range(0, 3000, 300):
+        ids = range(start, start + 300)
+        names = sorted(f"né{i * 37 % 1000}" for i in ids if i % 7)
+        want[start] = (300, str(ids[-1]), names[0], names[-1], None, None, "NaN" if any(i % 900 == 5 for i in ids) else str(ids[-1] / 4))
+    assert got == want
+
+
 def test_nan_over_integer_literals(spark, tmp_path):
     rows = spark.createDataFrame([(float("nan"), 1), (1.0, 2), (-1.0, 3)], "x double, k int")
     table = Table.create(spark, str(tmp_path / "t"), rows.schema)
