@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from basalt.plans import catalogue
+from basalt.sources.table import Table
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +47,13 @@ def test_oracle(spark, duck, name):
     names = [d[0] for d in found.description]
     want = sorted((tuple(plain(dict(zip(names, r))[c]) for c in columns) for r in found.fetchall()), key=repr)
     assert sorted(names) == columns and got == want
+
+
+@pytest.mark.parametrize("name", ["explain_report", "lakehouse_join"])
+def test_manifests_sort_no_rows(spark, monkeypatch, name):
+    """The bounds of the tables that a query writes are found by hash, also of texts."""
+    entries, made = Table._entries, []
+    monkeypatch.setattr(Table, "_entries", lambda self, *a: made.append(entries(self, *a)) or made[-1])
+    catalogue.QUERIES[name](spark, SF)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    assert len(plans) == 2 and not any("Sort" in plan for plan in plans)
